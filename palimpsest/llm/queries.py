@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.decontamination import op4_decontamination
-from palimpsest.llm.packing import op10_packing
+from palimpsest.llm import class_lm, decontamination, line_dedup, minhash_dedup, packing, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op4_decontamination": op4_decontamination,
-        "op10_packing": op10_packing,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op4_decontamination": decontamination.op4_decontamination,
+        "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
+        "op8_class_lm": class_lm.op8_class_lm,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE}
