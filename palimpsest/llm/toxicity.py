@@ -4,13 +4,14 @@ A character trigram model, counted over all documents, is the language model.  A
 that looks disguised (symbols or digits among its letters, letters repeated, letters
 spelled out one by one) becomes a lattice: each symbol may stand for the letters it
 resembles, a separator for nothing, a run of one letter for one or two of it, each at
-a channel cost.  Viterbi takes the likeliest spelling.  Restored words, and their
-beginnings, are scored with weights learned from labelled documents.
+a channel cost.  Viterbi takes the likeliest spelling.  Restored words and their
+beginnings are weighed by naive Bayes, learned from labelled documents: telling words
+add their log-odds, every other word takes a little off.
 
 The label model is fitted on at most `TRAIN_ROWS` labelled training rows, chosen by
 hash; the language model and the scores cover every whole text.
 
-Defined results: null and empty texts score as a text without any weighted word;
+Defined results: null and empty texts score the share of toxic rows;
 repeated rows score alike; labels rows that are null or contradict each other
 (both values for one doc_id) are not learned from; other columns are ignored.
 """
@@ -32,9 +33,11 @@ from palimpsest.llm.common import materialise, table
 #: Labelled rows the label model is fitted on, at most.
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
-#: Toxic training documents a weighted word needs, and the least log-odds it needs.
-LEAST_DOCS, LEAST_WEIGHT = 3, 2.5
-PREFIXES = (4, 5, 6)
+#: Toxic training documents a telling feature needs, the least log-odds it needs, and clean words its prior counts for.
+LEAST_DOCS, LEAST_WEIGHT, PRIOR = 3, 3.0, 2.0
+#: Toxic texts are expected to hold this many times fewer telling words than the training rows' average.
+THIN = 2.0
+PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Restored words a worker remembers.
 CACHE = 500_000
 
@@ -152,99 +155,103 @@ def features(word: str) -> list[str]:
 
 
 class Lexicon(dict):
-    """From a raw word to its weightiest feature, or None."""
+    """From a raw word to the weight of its most telling feature, or None."""
 
-    def __init__(self, weights: dict[str, float], restore: Restorer):
-        self.weights, self.restore = weights, restore
+    def __init__(self, fitted: Fitted, restore: Restorer):
+        self.fitted, self.restore = fitted, restore
 
-    def __missing__(self, word: str) -> str | None:
+    def __missing__(self, word: str) -> float | None:
         if len(self) > CACHE:
             self.clear()
-        known = [f for f in features(restored(word, self.restore)) if f in self.weights]
-        self[word] = best = max(known, key=self.weights.__getitem__) if known else None
+        weights = self.fitted.weights
+        self[word] = best = max((weights[f] for f in features(restored(word, self.restore)) if f in weights), default=None)
         return best
 
-    def total(self, text: str) -> float:
-        return sum(self.weights[f] for f in set(map(self.__getitem__, words(text))) if f is not None)
+    def log_odds(self, text: str) -> tuple[float, int]:
+        """The text's log-odds of being toxic, and its distinct telling words."""
+        found = words(text)
+        told = [w for w in map(self.__getitem__, found) if w is not None]
+        return self.fitted.prior + sum(told) - self.fitted.other * (len(found) - len(told)), len(told)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, text, half of at most TRAIN_ROWS labelled rows outside the held-out fold."""
+    """doc_id, toxic, text of at most TRAIN_ROWS labelled rows outside the held-out fold."""
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("other")).where("toxic = other")
-        .orderBy(F.xxhash64("doc_id")).limit(TRAIN_ROWS)
-        .select("doc_id", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("half"))
+        .orderBy(F.xxhash64("doc_id")).limit(TRAIN_ROWS).select("doc_id", "toxic")
     )
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], float, float]:
-    """The character model; the words' weights from two thirds of the training rows; slope and intercept from the rest."""
+class Fitted:
+    """The label model: the log-odds of telling features, what every other word takes off, and the log-odds of a toxic row."""
+
+    def __init__(self, weights: dict[str, float], rate: float, share: float):
+        self.weights = {f: w - math.log(THIN) for f, w in weights.items()}
+        self.other = rate / THIN
+        self.prior = math.log(share / (1 - share))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Fitted]:
+    """The character model, and the label model by naive Bayes over the distinct words of the training rows."""
     model = character_model(docs)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = materialise(training_rows(docs, labels))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restore, seen = Restorer(shared.value), {}
         for batch in batches:
-            total: Counter = Counter()
+            total: dict[tuple, list[int]] = {}
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                found = set()
+                found: Counter = Counter()
                 for w in words(text) if isinstance(text, str) else ():
                     if w not in seen:
                         seen[w] = features(restored(w, restore))
                     found.update(seen[w])
-                total.update((f, toxic) for f in found)
+                    found[""] += 1  # all words
+                for f, n in found.items():
+                    both = total.setdefault((f, toxic), [0, 0])
+                    both[0] += n
+                    both[1] += 1
             if len(seen) > CACHE:
                 seen.clear()
-            yield pd.DataFrame([(f, t, n) for (f, t), n in total.items()], columns=["feature", "toxic", "n"])
-
-    sizes = {(r.half, r.toxic): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
-    toxic, clean = (max(1, sizes.get((False, t), 0)) for t in (1, 0))
-    counts = rows.where("not half").mapInPandas(count, "feature string, toxic int, n long").groupBy("feature").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
-    )
-    weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 1.0) / (clean + 2))
-    chosen = counts.where(F.col("t") >= LEAST_DOCS).select("feature", weight.alias("w")).where(F.col("w") >= LEAST_WEIGHT)
-    weights = {r.feature: r.w for r in chosen.collect()}  # bounded by the training rows' words
-    fitted = score_totals(rows.where("half"), model, weights, "toxic").select("toxic", "total").toPandas()  # at most TRAIN_ROWS pairs of numbers
-    slope, intercept = logistic(fitted["total"].to_numpy(float), fitted["toxic"].to_numpy(float))
-    return model, weights, slope, intercept
-
-
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by damped Newton steps with a small ridge; without both classes, a weight of LEAST_WEIGHT twice decides."""
-    if len(set(y.tolist())) < 2:
-        return 1.0, -LEAST_WEIGHT * 2
-    a, t = np.stack([x, np.ones_like(x)], 1), np.array([0.5, -2.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ t, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([0.05, 0.05])
-        step = np.linalg.solve(h, a.T @ (p - y) + 0.05 * t)
-        t = t - step / max(1.0, np.abs(step).max())
-    return float(t[0]), float(t[1])
-
-
-def score_totals(docs: DataFrame, model: np.ndarray, weights: dict[str, float], *keep: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights))
+            yield pd.DataFrame([(f, t, n, d) for (f, t), (n, d) in total.items()], columns=["feature", "toxic", "n", "docs"])
+
+    of = lambda c, toxic: F.sum(F.when(F.col("toxic") == toxic, F.col(c)).otherwise(0))
+    counts = materialise(
+        rows.mapInPandas(count, "feature string, toxic int, n long, docs long").groupBy("feature")
+        .agg(of("n", 1).alias("t"), of("n", 0).alias("c"), of("docs", 1).alias("docs"), F.sum("docs").alias("all"))
+    )
+    every = counts.where("feature = ''").first()
+    toxic, clean, docs_toxic, docs_all = (every.t, every.c, every.docs, every["all"]) if every else (0, 0, 0, 0)
+    weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + PRIOR) / (clean + 2 * PRIOR))
+    chosen = counts.where((F.col("docs") >= LEAST_DOCS) & (F.col("feature") != "")).select("feature", weight.alias("w")).where(F.col("w") >= LEAST_WEIGHT)
+    fitted = Fitted({r.feature: r.w for r in chosen.collect()}, 0.0, (docs_toxic + 0.5) / (docs_all + 5))  # bounded by the training rows' words
+    told = score_totals(rows.where("toxic = 1"), model, fitted, "toxic").agg(F.sum("told")).first()[0] or 0
+    fitted.other = told / max(1, toxic) / THIN
+    return model, fitted
+
+
+def score_totals(docs: DataFrame, model: np.ndarray, fitted: Fitted, *keep: str) -> DataFrame:
+    """Every row's `keep` columns, log_odds, and told (its distinct telling words)."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, fitted))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(shared.value[1], Restorer(shared.value[0]))
         for batch in batches:
-            total = [lexicon.total(x) if isinstance(x, str) else 0.0 for x in batch["text"]]
-            yield batch[list(keep)].assign(total=total)
+            found = [lexicon.log_odds(x if isinstance(x, str) else "") for x in batch["text"]]
+            yield batch[list(keep)].assign(log_odds=[x for x, _ in found], told=[n for _, n in found])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInPandas(score, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", total double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(score, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", log_odds double, told long")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     """Every row's `keep` columns, and its score from 0 to 1."""
-    model, weights, slope, intercept = fit(docs, labels)
-    scored = score_totals(docs, model, weights, *keep)
-    return scored.select(*keep, (1 / (1 + F.exp(-(F.col("total") * slope + intercept)))).alias("score"))
+    model, fitted = fit(docs, labels)
+    scored = score_totals(docs, model, fitted, *keep)
+    return scored.select(*keep, (1 / (1 + F.exp(-F.greatest(F.least("log_odds", F.lit(60.0)), F.lit(-60.0))))).alias("score"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
