@@ -39,7 +39,7 @@ from palimpsest.llm.common import Words, materialise, table, utf8
 WINDOW = 13
 TRIPLE = 3
 #: Bits of the anchor bitmap, 32 MB; raise it with the corpus to keep step 2 small.
-BITMAP_BITS = 28
+BITMAP_BITS, CHUNK_BITS = 28, 15
 #: An anchor in this many documents, or in this share of all anchors if that is more, is salted.
 HOT, HOT_SHARE, SALTS = 2_000, 1e-5, 64
 
@@ -79,9 +79,21 @@ def anchor_filter(docs: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray]
     counts = materialise(anchors(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     bit = F.shiftrightunsigned("anchor", 64 - BITMAP_BITS)
-    cells = counts.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - BITMAP_BITS}) & 63 as int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    bitmap[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    chunks = counts.groupBy(F.shiftright(bit, CHUNK_BITS).cast("int").alias("chunk")).agg(F.collect_set((bit % (1 << CHUNK_BITS)).cast("int")).alias("bits"))  # at most 2^CHUNK_BITS
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = []
+            for bits in batch["bits"]:
+                flags = np.zeros(1 << CHUNK_BITS, np.uint8)
+                flags[np.asarray(bits, np.int64)] = 1
+                packed.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pd.DataFrame({"chunk": batch["chunk"], "packed": packed})
+
+    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for r in chunks.mapInPandas(pack, "chunk int, packed binary").toLocalIterator():
+        at = r.chunk << (CHUNK_BITS - 3)
+        bitmap[at : at + len(r.packed)] = np.frombuffer(r.packed, np.uint8)
     hot = counts.where(F.col("n") >= max(HOT, int(total * HOT_SHARE))).select("anchor").toPandas()["anchor"].to_numpy(np.int64)
     return bitmap, np.sort(hot)
 
@@ -96,7 +108,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
             words = Words(utf8(batch["text"]))
             start, anchor = _anchors(words, window)
             bit = anchor >> np.uint64(64 - BITMAP_BITS)
-            noted = np.flatnonzero((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+            noted = np.flatnonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
             start, anchor = start[noted], anchor[noted].view(np.int64)
             hashes, at = words.runs(window)
             doc_id = batch["doc_id"].to_numpy(np.int64)[words.document[start]]
