@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import class_lm, decontamination, line_dedup, minhash_dedup, packing, substring_dedup, toxicity
+from palimpsest.llm import class_lm, decontamination, line_dedup, minhash_dedup, packing, quality, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_decontamination": decontamination.op4_decontamination,
