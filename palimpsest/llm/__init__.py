@@ -1,0 +1 @@
+"""Operators for corpora of training text."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import class_lm, decontamination, line_dedup, minhash_dedup, packing, quality, substring_dedup, toxicity
+from palimpsest.llm import class_lm, decontamination, line_dedup, minhash_dedup, neighbours, packing, quality, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_decontamination": decontamination.op4_decontamination,
+        "op5_neighbours": neighbours.op5_neighbours,
+        "op6_url_filter": url_filter.op6_url_filter,
         "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
         "op8_class_lm": class_lm.op8_class_lm,
         "op9_toxicity": toxicity.op9_toxicity,
