@@ -4,11 +4,11 @@
   sets form a class and are linked at once; only one representative of a class goes on, so
   thousands of copies cost one row each.
 * `BANDS` x `ROWS` minima of universal hash functions.  A pair at the threshold agrees in no
-  band with probability (1 - 0.85^5)^30 = 2e-8.
+  band with probability (1 - 0.85^7)^40 = 2e-7.
 * Candidates come from buckets without emitting all their pairs: every member is paired with
-  the bucket's smallest, verified links join components, a second round pairs members inside
-  random small subgroups, and then each bucket that still spans several components is searched
-  exhaustively, the members outside its largest component against all, in blocks of `BLOCK`.
+  the bucket's smallest, and verified links give members the label of the smallest they reach
+  in two steps.  Then each bucket that spans several labels is searched exhaustively, the
+  members outside its largest label against all of other labels, in blocks of `BLOCK`.
 * A pair is estimated by its signatures and then confirmed on the full sets.
 * Components by alternating large-star and small-star steps.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import Words, materialise, mix, table, utf8
 
 SHINGLE = 5
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 40, 7
 #: A link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
 #: Signature estimate under which a pair is not fetched for verification (over 5 standard deviations below).
@@ -138,21 +138,21 @@ def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): alternating large-star and small-star until nothing changes; component is the smallest node."""
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            e = materialise(e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-        least = materialise(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        linked = e.join(least, "u").select(F.col("v").alias("x"), "m", F.lit(large).alias("l"), "u").where("not l or x > u").select("x", "m")
-        if not large:
-            linked = linked.union(least.select(F.col("u").alias("x"), "m"))
-        return materialise(linked.where("x <> m").select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct())
+    def large_star(e: DataFrame) -> DataFrame:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    def small_star(e: DataFrame) -> DataFrame:
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        return e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
     edges, before = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct()
-        before, edges = now, star(star(edges, True), False)
+        before, edges = now, materialise(small_star(materialise(large_star(edges))))
 
 
 def _outsiders(bucketed: DataFrame, members: DataFrame) -> DataFrame:
@@ -194,23 +194,12 @@ def linked(docs: DataFrame) -> DataFrame:
     buckets = materialise(every.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1"))
     bucketed = materialise(every.join(buckets, "key"))
 
-    def component_of(links: DataFrame) -> DataFrame:
-        return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    def spread(groups: DataFrame) -> DataFrame:
-        """Buckets' rows with the component of each; only of buckets that span several."""
-        rows = groups.join(materialise(component_of(links)).withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        return materialise(rows.join(several, "key", "left_semi"))
-
     star = bucketed.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
     links = confirmed(estimated(star, members), members, docs)
-    apart = spread(bucketed.where("n > 2").select("class", "key", "n")).drop("component")
-    part = apart.withColumn("part", F.pmod(F.xxhash64("class", "key"), F.ceil(F.col("n") / 8).cast("long")))
-    least = materialise(part.groupBy("key", "part").agg(F.min("class").alias("least")))
-    again = part.join(least, ["key", "part"]).where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    links = materialise(links.union(confirmed(estimated(again, members), members, docs)))
-    links = materialise(links.union(confirmed(_outsiders(spread(apart), members), members, docs)))
+    hop = links.groupBy("a").agg(F.min("b").alias("b"))
+    label = hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("class"), F.least("b", "c").alias("component"))
+    labelled = bucketed.where("n > 2").select("class", "key").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    links = links.union(confirmed(_outsiders(labelled, members), members, docs))
 
     node = classes.select("class", F.col("least").alias("doc"))
     edges = links.join(node.select(F.col("class").alias("a"), F.col("doc").alias("u")), "a").join(node.select(F.col("class").alias("b"), F.col("doc").alias("v")), "b").select("u", "v")
