@@ -25,7 +25,7 @@ from palimpsest.llm.common import materialise, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), *docs.columns)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    return scored.where(F.col("nc_score") < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,15 +30,19 @@ from palimpsest.llm.common import materialise, table
 MIN_LINES = 3
 
 _KEY = ["dd_doc", "dd_text"]
+_ADDED = {"n_lines", "n_removed", "n_runs"}
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("dd_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("dd_text", F.xxhash64("text"))
+    """The documents' key beside their rows, whose own columns may have any names."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return docs.select(number.alias("dd_doc"), F.xxhash64("text").alias("dd_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
     """(document key, pos, rank): one row per line of each distinct document; the rank is the line's hash."""
-    lines = _keyed(docs).where("text is not null").select(*_KEY, F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("ids"))
+    ids = F.transform(F.split("row.text", "\n"), lambda x: F.xxhash64(x))
+    lines = _keyed(docs.select("doc_id", "text")).where("row.text is not null").select(*_KEY, ids.alias("ids"))
     return lines.dropDuplicates(_KEY).select(*_KEY, F.posexplode("ids").alias("pos", "rank"))
 
 
@@ -72,18 +76,18 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Every row with `text` without its later copies, and n_lines, n_removed, n_runs."""
+    """Every row with `text` without its later copies, and n_lines, n_removed, n_runs at the end (columns of these names are replaced)."""
     runs = repeated_runs(docs, min_lines)
-    lines = F.split("text", "\n")
+    lines = F.split("row.text", "\n")
     outside = lambda x, i: ~F.exists("dd_runs", lambda r: (r["first"] <= i) & (i < r["end"]))
     kept = F.when(F.col("dd_runs").isNull(), lines).otherwise(F.filter(lines, outside))
-    joined = _keyed(docs).join(runs.hint("shuffle_hash"), _KEY, "left")
-    out = joined.withColumn("dd_kept", kept)
+    out = _keyed(docs).join(runs.hint("shuffle_hash"), _KEY, "left").select("row", kept.alias("kept"), F.size(lines).alias("lines"), F.col("dd_runs").alias("runs"))
+    some = lambda n, known: F.when(known.isNull(), 0).otherwise(n).cast("long")
     return out.select(
-        *(F.col(c) if c != "text" else F.array_join("dd_kept", "\n").alias("text") for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("dd_kept")).cast("long").alias("n_removed"),
-        F.when(F.col("dd_runs").isNull(), 0).otherwise(F.size("dd_runs")).cast("long").alias("n_runs"),
+        *(F.col(f"row.`{c}`") if c != "text" else F.array_join("kept", "\n").alias("text") for c in docs.columns if c.lower() not in _ADDED),
+        some(F.col("lines"), F.col("row.text")).alias("n_lines"),
+        some(F.col("lines") - F.size("kept"), F.col("row.text")).alias("n_removed"),
+        some(F.size("runs"), F.col("runs")).alias("n_runs"),
     )
 
 

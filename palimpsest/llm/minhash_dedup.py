@@ -208,7 +208,7 @@ def linked(docs: DataFrame) -> DataFrame:
     reached = components(edges.union(same)).withColumnRenamed("node", "doc")
     answer = materialise(node.join(reached, "doc", "left").select("class", F.coalesce("component", "doc").alias("component_id")))
     out = signed.select("doc_id", "n_shingles", "class").join(answer, "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

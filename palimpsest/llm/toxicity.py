@@ -56,7 +56,7 @@ for _c in range(0x250):
 
 _EDGES = re.compile(r"^[^\w@$!|+€£]+|[\W_]+$")
 _NOISY = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|^[\d@$!|+€£]+[^\W\d_]|([^\W\d_])\1\1|[^\W\d_]\d+$")
-_SPELLED = re.compile(r"(?<!\S)[^\W_](?:[ ._\-][^\W_]){2,}(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)[^\W_](?:[ ._\-][^\W_]){2,}(?!\w)")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -228,32 +228,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Fitted]:
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + PRIOR) / (clean + 2 * PRIOR))
     chosen = counts.where((F.col("docs") >= LEAST_DOCS) & (F.col("feature") != "")).select("feature", weight.alias("w")).where(F.col("w") >= LEAST_WEIGHT)
     fitted = Fitted({r.feature: r.w for r in chosen.collect()}, 0.0, (docs_toxic + 0.5) / (docs_all + 5))  # bounded by the training rows' words
-    told = score_totals(rows.where("toxic = 1"), model, fitted, "toxic").agg(F.sum("told")).first()[0] or 0
+    told = score_totals(rows.where("toxic = 1"), model, fitted, "toxic").agg(F.sum("nc_told")).first()[0] or 0
     fitted.other = told / max(1, toxic) / THIN
     return model, fitted
 
 
 def score_totals(docs: DataFrame, model: np.ndarray, fitted: Fitted, *keep: str) -> DataFrame:
-    """Every row's `keep` columns, log_odds, and told (its distinct telling words)."""
+    """Every row's `keep` columns, nc_log_odds, and nc_told (its distinct telling words)."""
     shared = docs.sparkSession.sparkContext.broadcast((model, fitted))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(shared.value[1], Restorer(shared.value[0]))
         for batch in batches:
             found = [lexicon.log_odds(x if isinstance(x, str) else "") for x in batch["text"]]
-            yield batch[list(keep)].assign(log_odds=[x for x, _ in found], told=[n for _, n in found])
+            yield batch[list(keep)].assign(nc_log_odds=[x for x, _ in found], nc_told=[n for _, n in found])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(score, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", log_odds double, told long")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(score, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", nc_log_odds double, nc_told long")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
-    """Every row's `keep` columns, and its score from 0 to 1."""
+    """Every row's `keep` columns, and nc_score, from 0 to 1."""
     model, fitted = fit(docs, labels)
     scored = score_totals(docs, model, fitted, *keep)
-    return scored.select(*keep, (1 / (1 + F.exp(-F.greatest(F.least("log_odds", F.lit(60.0)), F.lit(-60.0))))).alias("score"))
+    return scored.select(*keep, (1 / (1 + F.exp(-F.greatest(F.least("nc_log_odds", F.lit(60.0)), F.lit(-60.0))))).alias("nc_score"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("nc_score").alias("score"), (F.col("nc_score") >= THRESHOLD).cast("int").alias("predicted"))

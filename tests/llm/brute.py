@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_hash string, key int, n_words string, class string, component string, kept string, dd_runs int, n int, word string, anchor int, hash int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text_hash string, key int, class string, component string, kept string, dd_runs int, n int, word string, anchor int, hash int, row string"
 
 
 def low(x):
@@ -39,7 +39,7 @@ def hard_texts(seed=3):
 
 def documents(spark, rows):
     """The rows with further columns whose names clash with the operators' own."""
-    full = [(i, t, "en", "src0", len(t) if t is not None else None, "c", 1, "c", "c", "c", "c", 2, 3, "c", 4, 5) for i, t in rows]
+    full = [(i, t, "en", "src0", len(t) if t is not None else None, "c", 1, "c", "c", "c", 2, 3, "c", 4, 5, "c") for i, t in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(3)
 
 

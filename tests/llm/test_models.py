@@ -79,7 +79,7 @@ def test_toxicity_hard_rows(spark):
     labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (None, 1, 1), (2, None, None), (3, 0, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.limit(0)):
         got = toxicity.toxicity(docs, some, "doc_id").collect()
-        assert len(got) == len(ROWS) + 2 and all(0 <= r.score <= 1 for r in got)
+        assert len(got) == len(ROWS) + 2 and all(0 <= r.nc_score <= 1 for r in got)
     assert toxicity.toxicity(docs.limit(0), labels, "doc_id").count() == 0
 
 
