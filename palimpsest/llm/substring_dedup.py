@@ -2,8 +2,8 @@
 
 Every document is factored, left to right and greedily, against the whole corpus as the
 reference: a factor is a longest stretch of words all of whose windows of `window` words
-start in an earlier document (a smaller doc_id), with the earliest such document as its
-source.  A factor ends where the next window is not in the reference; windows across the
+start in an earlier document (a smaller doc_id), with an earlier document that holds them
+as its source (the earliest, or for a very frequent window the earliest of its salt).  A factor ends where the next window is not in the reference; windows across the
 border of two factors with different sources are looked up like all others, so a stretch
 that no single source holds is cut where it must be.  Words inside factors are removed.
 
@@ -15,8 +15,8 @@ small part of all windows is ever shuffled:
    two documents are counted (with map-side partial sums, so a hot passage is no hot task)
    and noted in a bitmap of fixed size.  A false bit costs work, never a result.
 2. `repeated_windows`: windows behind a noted anchor are grouped by their own hash to find
-   the earliest document.  Windows of very frequent anchors are salted: first the earliest
-   within a salt, then the earliest among the salts' winners.
+   the earliest document.  Windows of very frequent anchors are salted: all but the earliest
+   of a salt have an earlier document there, and only the salts' winners are compared again.
 
 Windows are compared by 64-bit hashes of their words.
 
@@ -99,7 +99,7 @@ def anchor_filter(docs: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, hash, source): windows of a document that also start in an earlier one; source is the earliest."""
+    """(doc_id, hash, source): windows of a document that also start in an earlier one, the source."""
     shared = docs.sparkSession.sparkContext.broadcast(anchor_filter(docs, window))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,19 +111,22 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
             noted = np.flatnonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
             start, anchor = start[noted], anchor[noted].view(np.int64)
             hashes, at = words.runs(window)
-            doc_id = batch["doc_id"].to_numpy(np.int64)[words.document[start]]
-            salted = np.isin(anchor, hot)
-            salt = np.where(salted, doc_id % SALTS + 1, 0)
-            yield pd.DataFrame({"hash": hashes[np.searchsorted(at, start)].view(np.int64), "doc_id": doc_id, "salt": salt.astype(np.int32)})
+            found, document = hashes[np.searchsorted(at, start)].view(np.int64), words.document[start]
+            order = np.lexsort((found, document))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(found[order]) != 0) | (np.diff(document[order]) != 0)
+            once = order[new]  # a window that a document repeats counts once
+            doc_id = batch["doc_id"].to_numpy(np.int64)[document[once]]
+            salt = np.where(np.isin(anchor[once], hot), doc_id % SALTS + 1, 0)
+            yield pd.DataFrame({"hash": found[once], "doc_id": doc_id, "salt": salt.astype(np.int32)})
 
     found = docs.mapInPandas(find, "hash long, doc_id long, salt int")
     first = found.withColumn("source", F.min("doc_id").over(Window.partitionBy("hash", "salt")))
     first = materialise(first.where("doc_id > source or salt > 0"))
-    winners = first.where("salt > 0").groupBy("hash", "salt").agg(F.min("source").alias("source"))
-    best = winners.groupBy("hash").agg(F.min("source").alias("best"))
-    cold = first.where("salt = 0").select("doc_id", "hash", "source")
-    warm = first.where("salt > 0").join(best, "hash").where("doc_id > best").select("doc_id", "hash", F.col("best").alias("source"))
-    return cold.unionByName(warm)
+    later = first.where("doc_id > source").select("doc_id", "hash", "source")
+    winners = first.where("salt > 0 and doc_id = source").select("doc_id", "hash").distinct()  # at most one a salt
+    best = winners.withColumn("source", F.min("doc_id").over(Window.partitionBy("hash"))).where("doc_id > source")
+    return later.unionByName(best.select("doc_id", "hash", "source"))
 
 
 def factored(docs: DataFrame, window: int = WINDOW) -> DataFrame:
