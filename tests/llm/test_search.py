@@ -1,5 +1,6 @@
 """Decontamination, nearest neighbours, packing and the pipeline."""
 
+import math
 import random
 import zlib
 
@@ -78,7 +79,7 @@ def test_neighbours_hard_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 8)
     rng = random.Random(5)
     same = [0.6, 0.8, 0.0]
-    rows = [(i, same) for i in range(60)] + [(60 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60)]
+    rows = [(i, same) for i in range(60)] + [(60 + i, [math.cos(a), math.sin(a) * 0.6, math.sin(a) * 0.8]) for i, a in enumerate(rng.uniform(2, 4) for _ in range(60))]
     bad = [(200, None), (220, []), (240, [0.0, 0.0, 0.0]), (260, [1.0, None, 2.0]), (280, [float("nan"), 1.0, 1.0]), (300, [float("inf"), 1.0, 1.0]), (None, same), (320, [1.0, 2.0])]
     table_ = spark.createDataFrame([(*r, "c", 1) for r in [*rows, *bad]], "vec_id long, embedding array<float>, cell string, block int").repartition(3)
     got = neighbours.nearest(table_, table_.where("vec_id % 20 = 0")).where("query_id < 60").collect()
