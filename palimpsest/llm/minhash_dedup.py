@@ -127,7 +127,8 @@ def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFram
         for batch in batches:
             hashes, first = shingles(utf8(batch["text"]))
             own = _set_hash(hashes, first) == batch["class"].to_numpy(np.int64)
-            yield pd.DataFrame({"class": batch["class"][own], "set": [hashes[first[i] : first[i + 1]].view(np.int64) for i in np.flatnonzero(own)]})
+            if own.any():
+                yield pd.DataFrame({"class": batch["class"][own], "set": [hashes[first[i] : first[i + 1]].view(np.int64) for i in np.flatnonzero(own)]})
 
     full = materialise(docs.select(F.col("doc_id").cast("long"), "text").join(sent, "doc_id").mapInPandas(sets, "class long, set array<long>").dropDuplicates(["class"]))
     both = pairs.join(full.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b").join(full.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")

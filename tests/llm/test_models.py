@@ -118,3 +118,16 @@ def test_url_rules(spark):
 def test_segmentation():
     cut = url_filter.Segmenter({"": -6.0, "news": -2.0, "paper": -2.5, "newspaper": -5.5, "a": -1.0})
     assert cut["newspaper"] == ["news", "paper"] and cut["apaper"] == ["a", "paper"] and "".join(cut["zzqpaper"]) == "zzqpaper"
+
+
+def test_partitions_without_rows(spark):
+    """Fewer rows than partitions: tasks without input hand on nothing."""
+    from palimpsest.llm import decontamination, minhash_dedup, packing, substring_dedup
+
+    rows = [(1, "a b c d e f"), (2, None), (9, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "x y")], "item_id long, text string")
+    made = [class_lm.scored(docs), quality.resampled(docs, labels), toxicity.toxicity(docs, labels, "doc_id"), minhash_dedup.linked(docs), substring_dedup.factored(docs)]
+    made += [decontamination.contamination(docs, items), packing.pack(docs, packing.tokenizer_file())]
+    assert [x.count() for x in made] == [3] * len(made)
