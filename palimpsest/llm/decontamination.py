@@ -225,3 +225,18 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+#: The same rows by windows of every length that items have.
+ORACLE = r"""
+WITH fold AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM fold),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[p:p + 9], ' ') AS k FROM b, UNNEST(range(1, greatest(1, len(ws) - 9) + 1)) AS t(p) WHERE len(ws) > 0),
+w AS (SELECT doc_id, p, n, array_to_string(ws[p:p + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM i) AS z, UNNEST(range(1, len(ws) - n + 2)) AS t(p)),
+o AS (SELECT w.doc_id, w.p, w.n, i.item_id FROM w JOIN i ON i.n = w.n AND i.k = w.k),
+h AS (SELECT doc_id, count(DISTINCT p + q) AS n FROM o, UNNEST(range(0, n)) AS t(q) GROUP BY doc_id),
+x AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(x.n, 0)::BIGINT AS n_items, sha256(coalesce(x.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id
+"""

@@ -11,9 +11,9 @@ counted beforehand (tables x cells numbers), and its probes go to each block, so
 holds a third of all rows is many bounded groups.  Each group returns its best `k` a query.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
-take no part, as queries or candidates; so do vectors of another length than the first
-(smallest) query's table; repeated rows are candidates of their own, a query id is searched
-once for each of its rows; ties go to the smaller vec_id; other columns are ignored.
+take no part, as queries or candidates; vectors are compared with queries of their own length
+only; rows that share a vec_id are one candidate and one query, with the best score of any
+of their vectors; ties go to the smaller vec_id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
 
     found = spread.select(columns).unionByName(probing.select(columns)).groupBy(*key, "block").applyInPandas(rerank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    distinct = found.dropDuplicates(["query_id", "vec_id"])
+    distinct = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE}
+    return {
+        "op2_line_dedup": line_dedup.ORACLE,
+        "op3_substring_dedup": substring_dedup.ORACLE,
+        "op4_decontamination": decontamination.ORACLE,
+        "op7_minhash_dedup": minhash_dedup.ORACLE,
+    }

@@ -175,3 +175,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factored(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The same rows by windows: a word goes if it is inside a window that also starts in a smaller document.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+r AS (SELECT doc_id, p, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM l),
+w AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS source FROM r WHERE p + 12 <= n),
+g AS (SELECT DISTINCT doc_id, p + k AS p FROM w, UNNEST(range(0, 13)) AS t(k) WHERE source < doc_id),
+k AS (SELECT l.doc_id, string_agg(word, ' ' ORDER BY l.p) FILTER (g.p IS NULL) AS kept, count(g.p) AS n FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY l.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
