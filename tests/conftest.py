@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(folder)).config("spark.sql.warehouse.dir", str(folder / "warehouse"))
-        .config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.driver.memory", "4g").config("spark.sql.maxMetadataStringLength", "2000").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
