@@ -7,8 +7,9 @@
   band with probability (1 - 0.85^7)^40 = 2e-7.
 * Candidates come from buckets without emitting all their pairs: every member is paired with
   the bucket's smallest, and verified links give members the label of the smallest they reach
-  in two steps.  Then each bucket that spans several labels is searched exhaustively, the
-  members outside its largest label against all of other labels, in blocks of `BLOCK`.
+  in two steps.  Then each bucket that spans several labels is searched, the members outside
+  its largest label against all of other labels, in blocks of `BLOCK`: first for each member's
+  most similar partner in a block, then, with the labels that these links give, exhaustively.
 * A pair is estimated by its signatures and then confirmed on the full sets.
 * Components by alternating large-star and small-star steps.
 
@@ -34,8 +35,8 @@ SHINGLE = 5
 BANDS, ROWS = 40, 7
 #: A link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-#: Signature estimate under which a pair is not fetched for verification (over 5 standard deviations below).
-ESTIMATE = 0.68
+#: Signature estimate under which a pair is not fetched for verification: 5 standard deviations below the threshold.
+ESTIMATE = 0.85 - 5 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5
 BLOCK = 512
 #: Documents to verify that are sent to all executors by id; beyond, texts are shuffled to them.
 BROADCAST_IDS = 500_000
@@ -156,18 +157,21 @@ def components(edges: DataFrame) -> DataFrame:
         before, edges = now, materialise(small_star(materialise(large_star(edges))))
 
 
-def _outsiders(bucketed: DataFrame, members: DataFrame) -> DataFrame:
-    """Plausible pairs across components inside buckets: members outside a bucket's largest component against all, in blocks."""
+def _outsiders(bucketed: DataFrame, members: DataFrame, best: bool = False) -> DataFrame:
+    """Plausible pairs across components inside buckets: members outside a bucket's largest component against all, in blocks.
+
+    With `best`, only each such member's most similar partner in each block.
+    """
     sizes = bucketed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = materialise(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0 and members > 2"))
-    held = materialise(bucketed.join(main, "key").join(members.select("class", "signature"), "class"))
+    held = materialise(bucketed.join(main, "key").join(members.select("class", "signature", "n_shingles"), "class"))
     block = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.ceil(n / BLOCK).cast("long"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1))
-    rows = ["key", "i", "j", "outside", "class", "component", "signature"]
+    rows = ["key", "i", "j", "outside", "class", "component", "signature", "n_shingles"]
     all_members = held.withColumn("i", block(F.col("members"), 1).cast("int")).withColumn("j", every(F.col("others"))).withColumn("outside", F.lit(False))
     outside = held.where("component <> main").withColumn("j", block(F.col("others"), 2).cast("int")).withColumn("i", every(F.col("members"))).withColumn("outside", F.lit(True))
     cells = all_members.select(rows).union(outside.select(rows)).groupBy("key", "i", "j").agg(
-        *(F.collect_list(F.when(F.col("outside") == side, F.col(c))).alias(f"{c}_{name}") for side, name in ((True, "o"), (False, "m")) for c in ("class", "component", "signature"))
+        *(F.collect_list(F.when(F.col("outside") == side, F.col(c))).alias(f"{c}_{name}") for side, name in ((True, "o"), (False, "m")) for c in ("class", "component", "signature", "n_shingles"))
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,8 +181,12 @@ def _outsiders(bucketed: DataFrame, members: DataFrame) -> DataFrame:
                 if not len(r.class_o) or not len(r.class_m):
                     continue
                 o, m = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, BANDS * ROWS) for x in (r.signature_o, r.signature_m))
+                size, component = np.asarray(r.n_shingles_m, np.int64), np.asarray(r.component_m)
                 for k in range(len(o)):
-                    near = (_alike(o[k : k + 1], m)[0] >= ESTIMATE) & (np.asarray(r.component_m) != r.component_o[k])
+                    alike, own = _alike(o[k : k + 1], m)[0], int(r.n_shingles_o[k])
+                    near = (alike >= ESTIMATE) & (component != r.component_o[k]) & (100 * np.minimum(size, own) >= THRESHOLD * np.maximum(size, own))
+                    if best and near.any():
+                        near = np.array([np.argmax(np.where(near, alike, -1))])
                     found.update((max(int(c), int(r.class_o[k])), min(int(c), int(r.class_o[k]))) for c in np.asarray(r.class_m)[near])
             yield pd.DataFrame(sorted(found), columns=["a", "b"])
 
@@ -199,8 +207,12 @@ def linked(docs: DataFrame) -> DataFrame:
     links = confirmed(estimated(star, members), members, docs)
     hop = links.groupBy("a").agg(F.min("b").alias("b"))
     label = hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("class"), F.least("b", "c").alias("component"))
-    labelled = bucketed.where("n > 2").select("class", "key").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    links = links.union(confirmed(_outsiders(labelled, members), members, docs))
+    contested = bucketed.where("n > 2").select("class", "key")
+    for best in (True, False):
+        labelled = contested.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        links = materialise(links.union(confirmed(_outsiders(labelled, members, best), members, docs)))
+        if best:
+            label = materialise(components(links.toDF("u", "v")).withColumnRenamed("node", "class"))
 
     node = classes.select("class", F.col("least").alias("doc"))
     edges = links.join(node.select(F.col("class").alias("a"), F.col("doc").alias("u")), "a").join(node.select(F.col("class").alias("b"), F.col("doc").alias("v")), "b").select("u", "v")
