@@ -160,18 +160,20 @@ def components(edges: DataFrame) -> DataFrame:
 def _outsiders(bucketed: DataFrame, members: DataFrame, best: bool = False) -> DataFrame:
     """Plausible pairs across components inside buckets: members outside a bucket's largest component against all, in blocks.
 
-    With `best`, only each such member's most similar partner in each block.
+    A pair comes from the first bucket that it shares: there its labels differ as well, and a bucket
+    of two has been tested.  With `best`, only each such member's most similar partner in each block.
     """
     sizes = bucketed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = materialise(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0 and members > 2"))
-    held = materialise(bucketed.join(main, "key").join(members.select("class", "signature", "n_shingles"), "class"))
+    held = materialise(bucketed.join(main, "key").join(members.select("class", "signature", "n_shingles", "bands"), "class"))
     block = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.ceil(n / BLOCK).cast("long"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1))
-    rows = ["key", "i", "j", "outside", "class", "component", "signature", "n_shingles"]
+    rows = ["key", "i", "j", "outside", "class", "component", "signature", "n_shingles", "bands", "main"]
     all_members = held.withColumn("i", block(F.col("members"), 1).cast("int")).withColumn("j", every(F.col("others"))).withColumn("outside", F.lit(False))
     outside = held.where("component <> main").withColumn("j", block(F.col("others"), 2).cast("int")).withColumn("i", every(F.col("members"))).withColumn("outside", F.lit(True))
     cells = all_members.select(rows).union(outside.select(rows)).groupBy("key", "i", "j").agg(
-        *(F.collect_list(F.when(F.col("outside") == side, F.col(c))).alias(f"{c}_{name}") for side, name in ((True, "o"), (False, "m")) for c in ("class", "component", "signature", "n_shingles"))
+        F.first("main").alias("main"),
+        *(F.collect_list(F.when(F.col("outside") == side, F.col(c))).alias(f"{c}_{name}") for side, name in ((True, "o"), (False, "m")) for c in ("class", "component", "signature", "n_shingles", "bands"))
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,13 +183,19 @@ def _outsiders(bucketed: DataFrame, members: DataFrame, best: bool = False) -> D
                 if not len(r.class_o) or not len(r.class_m):
                     continue
                 o, m = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, BANDS * ROWS) for x in (r.signature_o, r.signature_m))
-                size, component = np.asarray(r.n_shingles_m, np.int64), np.asarray(r.component_m)
+                size, component, others = np.asarray(r.n_shingles_m, np.int64), np.asarray(r.component_m), np.asarray(r.class_m)
+                bands_o, bands_m = np.stack(r.bands_o), np.stack(r.bands_m)
+                band = np.flatnonzero(bands_m[0] == r.key)[0]
+                inside = component == r.main
                 for k in range(len(o)):
                     alike, own = _alike(o[k : k + 1], m)[0], int(r.n_shingles_o[k])
                     near = (alike >= ESTIMATE) & (component != r.component_o[k]) & (100 * np.minimum(size, own) >= THRESHOLD * np.maximum(size, own))
-                    if best and near.any():
-                        near = np.array([np.argmax(np.where(near, alike, -1))])
-                    found.update((max(int(c), int(r.class_o[k])), min(int(c), int(r.class_o[k]))) for c in np.asarray(r.class_m)[near])
+                    near &= (bands_m == bands_o[k]).argmax(1) == band
+                    if best:
+                        near = np.array([np.argmax(np.where(near, alike, -1))]) if near.any() else near
+                    else:
+                        near &= inside | (others < r.class_o[k])  # two outside members meet twice
+                    found.update((max(int(c), int(r.class_o[k])), min(int(c), int(r.class_o[k]))) for c in others[near])
             yield pd.DataFrame(sorted(found), columns=["a", "b"])
 
     return cells.mapInPandas(search, "a long, b long")
