@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor ke
 but the last return the columns of `documents`.
 
 * toxicity drops documents that score at least the operator's threshold; null and empty texts stay.
-* line_dedup deletes later copies of line runs, updates n_chars, and drops documents of which
+* line_dedup deletes later copies of line runs of three lines or 25 characters, updates n_chars, and drops documents of which
   nothing is left because every line is a later copy.
 * minhash_dedup keeps the document with the smallest doc_id of each group; rows that share a
   doc_id, and rows without one, stay together.
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicated(docs)
+    out = line_dedup.deduplicated(docs, min_chars=line_dedup.MIN_CHARS)
     left = out.where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

@@ -11,6 +11,11 @@ Suffixes of one rank are an interval of the array whose longest common prefix is
 `depth` lines.  Every member but the first (by doc_id and place) is a later copy; chained
 members are one maximal repeated run, and its lines are deleted.
 
+A run counts from `min_lines` lines; given `min_chars`, also from that many characters (white
+space aside) in however few lines.  Every line of such a run is in a part of at most `min_lines`
+lines that counts by itself, so longer prefixes decide nothing.  Repeated runs with fewer lines
+and fewer characters stay.  The query has lines only, as its SQL; the pipeline gives both.
+
 Groups only meet in sums (with partial sums before the shuffle) and in joins that Spark
 may split, so a line that a third of all documents share is no hot task.
 
@@ -21,6 +26,9 @@ and get the same result; other columns are kept as they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +36,8 @@ from palimpsest.llm.common import materialise, table
 
 #: Least lines of a repeated run.
 MIN_LINES = 3
+#: Least characters of a repeated run of fewer lines (about five words), where characters count.
+MIN_CHARS = 25
 
 _KEY = ["dd_doc", "dd_text"]
 _ADDED = {"n_lines", "n_removed", "n_runs"}
@@ -39,45 +49,68 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(number.alias("dd_doc"), F.xxhash64("text").alias("dd_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
-def line_ids(docs: DataFrame) -> DataFrame:
-    """(document key, pos, rank): one row per line of each distinct document; the rank is the line's hash."""
-    ids = F.transform(F.split("row.text", "\n"), lambda x: F.xxhash64(x))
-    lines = _keyed(docs.select("doc_id", "text")).where("row.text is not null").select(*_KEY, ids.alias("ids"))
-    return lines.dropDuplicates(_KEY).select(*_KEY, F.posexplode("ids").alias("pos", "rank"))
+def line_ids(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = None) -> DataFrame:
+    """(document key, pos, rank): one row per line of each distinct document; the rank is the line's hash.  With `min_chars`, also `least`: how many lines from here on count as a run."""
+    lines = F.split("row.text", "\n")
+    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("rank")))
+    if min_chars is not None:
+        sizes = F.transform(lines, lambda x: F.char_length(F.translate(x, " \t\n\x0b\x0c\r", "")))
+        total = lambda i, n: F.aggregate(F.slice("sizes", i + 1, F.lit(n)), F.lit(0).cast("long"), lambda x, y: x + y)
+        least = lambda i: F.coalesce(*(F.when(total(i, n) >= min_chars, n) for n in range(1, min_lines)), F.lit(min_lines))
+        ids = F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("rank"), least(i).alias("least")))
+    keyed = _keyed(docs.select("doc_id", "text")).where("row.text is not null")
+    keyed = keyed if min_chars is None else keyed.withColumn("sizes", sizes)
+    return keyed.select(*_KEY, ids.alias("ids")).dropDuplicates(_KEY).select(*_KEY, F.posexplode("ids").alias("pos", "line")).select(*_KEY, "pos", "line.*")
 
 
 def _repeated(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Rank each distinct prefix in order and keep the suffixes whose rank is shared."""
     shared = pairs.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     ranks = materialise(shared.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("next", F.monotonically_increasing_id()))
-    return materialise(pairs.join(ranks, by).select(*_KEY, "pos", F.col("next").alias("rank")))
+    others = [c for c in pairs.columns if c not in {*_KEY, "pos", *by}]
+    return materialise(pairs.join(ranks, by).select(*_KEY, "pos", F.col("next").alias("rank"), *others))
 
 
-def suffix_array(lines: DataFrame, depth: int) -> DataFrame:
-    """(document key, pos, rank): the suffixes that share their first `depth` lines with another; rank is their order."""
+def _rounds(lines: DataFrame, depth: int, every: bool = False) -> Iterator[tuple[int, DataFrame]]:
+    """(h, the suffixes that share their first h lines with another) for h doubled up to `depth`, or for `every` h."""
     suffixes, h = _repeated(lines, ["rank"]), 1
+    yield h, suffixes
     while h < depth:
-        step = min(h, depth - h)
+        step = 1 if every else min(h, depth - h)
         ahead = Window.partitionBy(*_KEY).orderBy("pos").rangeBetween(step, step)
         pairs = suffixes.withColumn("onward", F.first("rank").over(ahead)).where("onward is not null")
         suffixes, h = _repeated(pairs, ["rank", "onward"]), h + step
+        yield h, suffixes
+
+
+def suffix_array(lines: DataFrame, depth: int) -> DataFrame:
+    """(document key, pos, rank): the suffixes that share their first `depth` lines with another; rank is their order."""
+    *_, (_, suffixes) = _rounds(lines, depth)
     return suffixes
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = None) -> DataFrame:
     """(document key, runs): maximal runs [first, end) of lines that are later copies."""
-    suffixes = suffix_array(line_ids(docs), min_lines)
-    first = materialise(suffixes.groupBy("rank").agg(F.min(F.struct(*_KEY, "pos")).alias("first")))
-    later = suffixes.join(first, "rank").where(F.struct(*_KEY, "pos") > F.col("first")).select(*_KEY, "pos")
+    lines, parts = line_ids(docs, min_lines, min_chars), []
+    for h, suffixes in _rounds(lines, min_lines, min_chars is not None):
+        if min_chars is not None:
+            suffixes = suffixes.where(F.col("least") <= h)
+        elif h < min_lines:
+            continue
+        first = materialise(suffixes.groupBy("rank").agg(F.min(F.struct(*_KEY, "pos")).alias("first")))
+        parts.append(suffixes.join(first, "rank").where(F.struct(*_KEY, "pos") > F.col("first")).select(*_KEY, "pos", (F.col("pos") + h).alias("end")))
+    later = reduce(DataFrame.union, parts)
     order = Window.partitionBy(*_KEY).orderBy("pos")
-    opens = F.coalesce((F.col("pos") > F.lag("pos").over(order) + min_lines).cast("int"), F.lit(1))
-    runs = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order)).groupBy(*_KEY, "run").agg(F.min("pos").alias("first"), (F.max("pos") + min_lines).alias("end"))
+    before = F.max("end").over(order.rangeBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("pos") > before).cast("int"), F.lit(1))
+    later = later if min_chars is None else later.groupBy(*_KEY, "pos").agg(F.max("end").alias("end"))
+    runs = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order)).groupBy(*_KEY, "run").agg(F.min("pos").alias("first"), F.max("end").alias("end"))
     return runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("dd_runs"))
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = None) -> DataFrame:
     """Every row with `text` without its later copies, and n_lines, n_removed, n_runs at the end (columns of these names are replaced)."""
-    runs = repeated_runs(docs, min_lines)
+    runs = repeated_runs(docs, min_lines, min_chars)
     lines = F.split("row.text", "\n")
     outside = lambda x, i: ~F.exists("dd_runs", lambda r: (r["first"] <= i) & (i < r["end"]))
     kept = F.when(F.col("dd_runs").isNull(), lines).otherwise(F.filter(lines, outside))
