@@ -6,7 +6,7 @@ but the last return the columns of `documents`.
 * toxicity drops documents that score at least the operator's threshold; null and empty texts stay.
 * line_dedup deletes later copies of line runs of three lines or 25 characters, updates n_chars, and drops documents of which
   nothing is left because every line is a later copy.
-* minhash_dedup keeps the document with the smallest doc_id of each group; rows that share a
+* minhash_dedup keeps the document with the smallest doc_id of each group of links from 0.8; rows that share a
   doc_id, and rows without one, stay together.
 * decontamination drops documents that hold a benchmark window.
 * packing returns the pieces of the rest.
@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = materialise(minhash_dedup.linked(docs).where("not kept").select("doc_id").distinct())
+    dropped = materialise(minhash_dedup.linked(docs, minhash_dedup.STAGE_THRESHOLD).where("not kept").select("doc_id").distinct())
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 

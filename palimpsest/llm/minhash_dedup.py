@@ -3,8 +3,9 @@
 * A document's set is its distinct 5-word shingles (lower-cased A-Z).  Documents with equal
   sets form a class and are linked at once; only one representative of a class goes on, so
   thousands of copies cost one row each.
-* `BANDS` x `ROWS` minima of universal hash functions.  A pair at the threshold agrees in no
-  band with probability (1 - 0.85^7)^40 = 2e-7.
+* Bands of minima of universal hash functions, as many as the threshold asks for (`scheme`): a
+  pair at the threshold agrees in no band with probability (1 - 0.85^7)^40 = 2e-7 for 0.85, and
+  (1 - 0.8^6)^51 = 2e-7 for 0.8.
 * Candidates come from buckets without emitting all their pairs: every member is paired with
   the bucket's smallest, and verified links give members the label of the smallest they reach
   in two steps.  Then each bucket that spans several labels is searched, the members outside
@@ -22,7 +23,9 @@ are one node; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,18 +35,42 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import Words, materialise, mix, table, utf8
 
 SHINGLE = 5
-BANDS, ROWS = 40, 7
-#: A link: 100 * intersection >= THRESHOLD * union.
-THRESHOLD = 85
-#: Signature estimate under which a pair is not fetched for verification: 5 standard deviations below the threshold.
-ESTIMATE = 0.85 - 5 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5
+#: A link: 100 * intersection >= threshold * union.  The query's threshold, and that of the pipeline's stage.
+THRESHOLD, STAGE_THRESHOLD = 85, 80
+#: Most minima of a document, and the probability that a pair at the threshold shares no band.
+MINIMA, MISSED = 310, 2.5e-7
 BLOCK = 512
 #: Documents to verify that are sent to all executors by id; beyond, texts are shuffled to them.
 BROADCAST_IDS = 500_000
 
 _RNG = np.random.default_rng(85)
-_A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+_A = _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 2**64, MINIMA, dtype=np.uint64)
+
+
+class Scheme(NamedTuple):
+    threshold: int
+    bands: int
+    rows: int
+
+    @property
+    def minima(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def estimate(self) -> float:
+        """Signature estimate under which a pair is not fetched for verification: 5 standard deviations below the threshold."""
+        t = self.threshold / 100
+        return t - 5 * (t * (1 - t) / self.minima) ** 0.5
+
+
+def scheme(threshold: int) -> Scheme:
+    """The longest bands that miss a pair at the threshold (in percent, below 100) with probability MISSED and fit into MINIMA."""
+    bands = lambda rows: math.ceil(math.log(MISSED) / math.log1p(-((threshold / 100) ** rows)))
+    fit = [Scheme(threshold, bands(rows), rows) for rows in range(1, 33) if rows * bands(rows) <= MINIMA]
+    if not fit:
+        raise ValueError(f"no bands of {MINIMA} minima for a threshold of {threshold} %")
+    return fit[-1]
 
 
 def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +100,7 @@ def _set_hash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, by: Scheme) -> DataFrame:
     """doc_id, n_shingles, class (hash of the set), signature (a byte of each minimum), bands; the last three null for empty sets."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,14 +108,14 @@ def signatures(docs: DataFrame) -> DataFrame:
             hashes, first = shingles(utf8(batch["text"]))
             n = np.diff(first)
             some = np.flatnonzero(n)
-            kept = np.zeros((len(some), BANDS * ROWS), np.uint64)
+            kept = np.zeros((len(some), by.minima), np.uint64)
             if len(some):
-                for j in range(BANDS * ROWS):
+                for j in range(by.minima):
                     kept[:, j] = np.minimum.reduceat((hashes * _A[j] + _B[j]) >> np.uint64(32), first[some])
-            bands = np.zeros((len(some), BANDS), np.uint64)
-            for j in range(ROWS):
-                bands = mix(bands ^ kept[:, j::ROWS])
-            bands = mix(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+            bands = np.zeros((len(some), by.bands), np.uint64)
+            for j in range(by.rows):
+                bands = mix(bands ^ kept[:, j :: by.rows])
+            bands = mix(bands + np.arange(by.bands, dtype=np.uint64)).view(np.int64)
             low, every = (kept & np.uint64(255)).astype(np.uint8), _set_hash(hashes, first)
             out = {"class": [None] * len(batch), "signature": [None] * len(batch), "bands": [None] * len(batch)}
             for k, i in enumerate(some.tolist()):
@@ -103,21 +130,21 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a[:, None, :] == b[None, :, :]).mean(2) - 1 / 256) * (256 / 255)
 
 
-def estimated(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, members: DataFrame, by: Scheme) -> DataFrame:
     """The pairs (a, b) of classes that their signatures don't rule out."""
     one = members.select(F.col("class").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
     two = members.select(F.col("class").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sa", "sb"))
-            yield batch.loc[((a == b).mean(1) - 1 / 256) * (256 / 255) >= ESTIMATE, ["a", "b"]]
+            a, b = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, by.minima) for c in ("sa", "sb"))
+            yield batch.loc[((a == b).mean(1) - 1 / 256) * (256 / 255) >= by.estimate, ["a", "b"]]
 
-    near = pairs.join(one, "b").join(two, "a").where(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
+    near = pairs.join(one, "b").join(two, "a").where(f"100 * least(na, nb) >= {by.threshold} * greatest(na, nb)")
     return near.mapInPandas(test, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     pairs = materialise(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
@@ -134,7 +161,7 @@ def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFram
     full = materialise(docs.select(F.col("doc_id").cast("long"), "text").join(sent, "doc_id").mapInPandas(sets, "class long, set array<long>").dropDuplicates(["class"]))
     both = pairs.join(full.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b").join(full.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return materialise(both.where(100 * common >= THRESHOLD * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    return materialise(both.where(100 * common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,7 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
         before, edges = now, materialise(small_star(materialise(large_star(edges))))
 
 
-def _outsiders(bucketed: DataFrame, members: DataFrame, best: bool = False) -> DataFrame:
+def _outsiders(bucketed: DataFrame, members: DataFrame, by: Scheme, best: bool = False) -> DataFrame:
     """Plausible pairs across components inside buckets: members outside a bucket's largest component against all, in blocks.
 
     A pair comes from the first bucket that it shares: there its labels differ as well, and a bucket
@@ -182,14 +209,14 @@ def _outsiders(bucketed: DataFrame, members: DataFrame, best: bool = False) -> D
             for r in batch.itertuples(index=False):
                 if not len(r.class_o) or not len(r.class_m):
                     continue
-                o, m = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, BANDS * ROWS) for x in (r.signature_o, r.signature_m))
+                o, m = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, by.minima) for x in (r.signature_o, r.signature_m))
                 size, component, others = np.asarray(r.n_shingles_m, np.int64), np.asarray(r.component_m), np.asarray(r.class_m)
                 bands_o, bands_m = np.stack(r.bands_o), np.stack(r.bands_m)
                 band = np.flatnonzero(bands_m[0] == r.key)[0]
                 inside = component == r.main
                 for k in range(len(o)):
                     alike, own = _alike(o[k : k + 1], m)[0], int(r.n_shingles_o[k])
-                    near = (alike >= ESTIMATE) & (component != r.component_o[k]) & (100 * np.minimum(size, own) >= THRESHOLD * np.maximum(size, own))
+                    near = (alike >= by.estimate) & (component != r.component_o[k]) & (100 * np.minimum(size, own) >= by.threshold * np.maximum(size, own))
                     near &= (bands_m == bands_o[k]).argmax(1) == band
                     if best:
                         near = np.array([np.argmax(np.where(near, alike, -1))]) if near.any() else near
@@ -201,9 +228,10 @@ def _outsiders(bucketed: DataFrame, members: DataFrame, best: bool = False) -> D
     return cells.mapInPandas(search, "a long, b long")
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """Every row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    signed = materialise(signatures(docs))
+def linked(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Every row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept; links are pairs of at least `threshold` percent."""
+    by = scheme(threshold)
+    signed = materialise(signatures(docs, by))
     real = signed.where("class is not null and doc_id is not null")
     classes = materialise(real.groupBy("class").agg(F.min("doc_id").alias("least")))
     members = materialise(real.join(classes, "class").where("doc_id = least").dropDuplicates(["class"]).drop("least"))
@@ -212,13 +240,13 @@ def linked(docs: DataFrame) -> DataFrame:
     bucketed = materialise(every.join(buckets, "key"))
 
     star = bucketed.where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    links = confirmed(estimated(star, members), members, docs)
+    links = confirmed(estimated(star, members, by), members, docs, threshold)
     hop = links.groupBy("a").agg(F.min("b").alias("b"))
     label = hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("class"), F.least("b", "c").alias("component"))
     contested = bucketed.where("n > 2").select("class", "key")
     for best in (True, False):
         labelled = contested.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        links = materialise(links.union(confirmed(_outsiders(labelled, members, best), members, docs)))
+        links = materialise(links.union(confirmed(_outsiders(labelled, members, by, best), members, docs, threshold)))
         if best:
             label = materialise(components(links.toDF("u", "v")).withColumnRenamed("node", "class"))
 
@@ -233,7 +261,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(table(spark, sf_dir, "documents"))
+    return linked(table(spark, sf_dir, "documents"), THRESHOLD)
 
 
 #: The same rows from every pair of documents that share a shingle, and the closure of the links.

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palimpsest.llm import line_dedup, minhash_dedup, substring_dedup
 from tests.llm import brute
 
@@ -107,6 +108,25 @@ def test_near_duplicates_chain(spark):
     assert _components(minhash_dedup.linked(brute.documents(spark, rows))) == want
 
 
+def test_near_duplicates_at_the_stage_threshold(spark):
+    """Pairs between 0.8 and 0.85 are linked at 80 and by the pipeline's stage, not at 85."""
+    words = [f"w{k}" for k in range(6000)]
+    rows = [(i, " ".join(words[i // 2 * 300 : i // 2 * 300 + 200] if i % 2 == 0 else words[i // 2 * 300 + 20 : i // 2 * 300 + 220])) for i in range(40)]
+    sets = brute.shingle_sets(rows)
+    assert all(0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.85 for i in range(0, 40, 2))
+    full = brute.documents(spark, rows).cache()
+    for threshold in (80, 85):
+        reach = brute.components(sets, threshold)
+        assert sum(reach[i] != i for i in reach) == {80: 20, 85: 0}[threshold]
+        assert _components(minhash_dedup.linked(full, threshold)) == {i: (len(sets[i]), reach[i], reach[i] == i) for i in sets}
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, full, "").collect()) == list(range(0, 40, 2))
+
+
+def test_near_duplicates_scheme():
+    assert minhash_dedup.scheme(85)[1:] == (40, 7) and minhash_dedup.scheme(80)[1:] == (51, 6)
+    assert all((1 - (t / 100) ** s.rows) ** s.bands <= minhash_dedup.MISSED and s.minima <= minhash_dedup.MINIMA for t in range(10, 100) for s in [minhash_dedup.scheme(t)])
+
+
 def test_near_duplicates_nulls_and_repeats(spark):
     t = " ".join(map(str, range(30)))
     got = minhash_dedup.linked(spark.createDataFrame([(None, t), (7, t), (7, t), (9, t), (8, None)], "doc_id long, text string")).collect()
