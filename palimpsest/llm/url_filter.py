@@ -9,8 +9,9 @@
   once, wherever most of the pages come from.
 
 The lexicon holds words with a share of at least `LEAST_SHARE` of all words (so at most
-1 / LEAST_SHARE), and the class model tokens seen in `LEAST_URLS` ruled urls, at most
-`TOKENS` of them, the most frequent; both are sent to the tasks.
+1 / LEAST_SHARE), and is sent to the tasks; rarer words are not split out of a host name.
+The class model holds all tokens seen `LEAST_URLS` times in ruled urls: the `TOKENS` most
+frequent are sent to the tasks, and the rest meet each distinct host and path in a join by token.
 
 Defined results: a null url or one without "://" has empty host and path, fits no rule and,
 without tokens, gets the likelier class; with no ruled urls everything is allowed; repeated
@@ -121,7 +122,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataF
     each = seen.select("decided", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if(F.col("decided") == "block").alias("b"), F.count_if(F.col("decided") == "allow").alias("a"))
     totals = each.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.count("*").alias("v")).first()
     odds = F.log((F.col("b") + 1) / (totals.b + totals.v + 1)) - F.log((F.col("a") + 1) / (totals.a + totals.v + 1))
-    model = {r.token: r.w for r in each.where(F.col("b") + F.col("a") >= LEAST_URLS).orderBy(F.desc(F.col("b") + F.col("a")), "token").limit(TOKENS).select("token", odds.alias("w")).collect()}
+    weights = materialise(each.where(F.col("b") + F.col("a") >= LEAST_URLS).select("token", (F.col("b") + F.col("a")).alias("n"), odds.alias("w")))
+    frequent = weights.orderBy(F.desc("n"), "token").limit(TOKENS).collect()
+    model = {r.token: r.w for r in frequent}
     prior = math.log((block + 1) / (allow + 1)) if block or allow else -1.0
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -131,6 +134,12 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataF
         return lists.map(lambda x: float(prior + sum(get(t, 0.0) for t in x)))
 
     scored = tokens.withColumn("block_log_odds", log_odds("tokens"))
+    if len(frequent) == TOKENS:
+        last = frequent[-1]
+        rest = weights.where((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("token") > last.token))).select("token", "w")
+        rare = tokens.select("host", "path", "tokens").dropDuplicates(["host", "path"]).select("host", "path", F.explode("tokens").alias("token")).join(rest, "token")
+        more = rare.groupBy("host", "path").agg(F.sum("w").alias("more"))
+        scored = scored.join(more, ["host", "path"], "left").withColumn("block_log_odds", F.col("block_log_odds") + F.coalesce("more", F.lit(0.0)))
     verdict = F.coalesce("decided", F.when(F.col("block_log_odds") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_log_odds", "words")
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontamination, neighbours, packing
+from palimpsest.llm import decontamination, neighbours, packing, url_filter
 from palimpsest.llm.common import Words, table
 from tests.llm import brute
 
@@ -158,3 +158,13 @@ def test_pipeline_stages(spark):
             assert {i for i, _ in after} == {i for i, x in brute.contamination(before, items).items() if not x[-1]}
         docs = out
     assert {r.doc_id for r in steps["packing"](spark, docs, DATA).collect()} == {i for i, _ in after}
+
+
+def test_urls_tokens_beyond_the_broadcast_count(spark, monkeypatch):
+    urls = [f"https://h{i % 5}.example.{end}/{lang}/w{i % 7}/w{i % 7}/v{i % 3}" for i in range(60) for end, lang in (("com", "en"), ("net", "de"), ("io", "xx"))]
+    pages = spark.createDataFrame([(i, u, "<p>some words</p>") for i, u in enumerate([*urls, None])], "page_id long, url string, html string")
+    rows = lambda: {r.page_id: (r.verdict, round(r.block_log_odds, 9)) for r in url_filter.judged(pages).collect()}
+    whole = rows()
+    for most in (1, 3, 8):
+        monkeypatch.setattr(url_filter, "TOKENS", most)
+        assert rows() == whole
