@@ -4,31 +4,42 @@ Every operator takes a DataFrame and returns a DataFrame.  Intermediate results
 that are used more than once are written as Parquet below the cluster's shared
 checkpoint folder (`spark.checkpoint.dir`), so a lost executor costs a reread and
 never a local file.
+
+Texts reach Python as Arrow batches.  Columns that are only handed on stay Arrow
+(`mapped`), so a null beside a large id changes neither.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-#: Documents a Python worker holds at once; bounds a worker's memory for long texts.
-ROWS_PER_BATCH = 512
+#: Bytes of text that a Python worker holds at once, or one text if that is longer.
+BATCH_BYTES = 8 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """One of the input tables.  A session that sets no bound on the bytes of an Arrow batch gets BATCH_BYTES."""
+    if spark.conf.get(_ARROW_BYTES, None) is None:
+        spark.conf.set(_ARROW_BYTES, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none."""
+    """The folder that driver and executors share.  Without one, a temporary folder in local mode and an error elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -42,6 +53,50 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _slices(stream: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[list[bytes], pa.RecordBatch]]:
+    """Texts as UTF-8 bytes (nulls as empty) and their rows, at most BATCH_BYTES at a time."""
+    for batch in stream:
+        texts = batch.column(text).cast(pa.binary()).to_pylist()
+        size, lo = 0, 0
+        for hi, x in enumerate(texts):
+            n = len(x) if x else 0
+            if hi > lo and size + n > BATCH_BYTES:
+                yield [x or b"" for x in texts[lo:hi]], batch.slice(lo, hi - lo)
+                size, lo = 0, hi
+            size += n
+        if len(texts) > lo:
+            yield [x or b"" for x in texts[lo:]], batch.slice(lo)
+
+
+Work = Callable[[Iterator[tuple[list[bytes], pa.RecordBatch]]], Iterator[tuple[pa.RecordBatch | None, Sequence[int] | None, dict]]]
+
+
+def mapped(df: DataFrame, work: Work, added: str, keep: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """The `keep` columns of rows that `work` picks, with the columns it adds (`added`, as DDL).
+
+    `work` takes (texts, rows) slice by slice, and yields (rows, places in them or None for all, new columns).
+    """
+    source = df.select(*dict.fromkeys([*keep, text]))
+    schema = StructType([*(source.schema[c] for c in keep), *StructType.fromDDL(added).fields])
+    arrow, keep = to_arrow_schema(schema), list(keep)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at, new in work(_slices(stream, text)):
+            held = []
+            for c in keep:
+                column = rows.column(c)
+                held.append(column if at is None else column.take(pa.array(at, pa.int64())))
+            made = [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(c).type) for c, x in new.items()]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*held, *made], arrow)], schema=arrow)
+
+    return source.mapInArrow(run, schema)
+
+
+def lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A list column from all its values and where each list begins (and the last ends)."""
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))
+
+
 def utf8(texts: pd.Series) -> list[bytes]:
     """UTF-8 bytes of each text, nulls as empty."""
     return [x.encode("utf-8", "replace") if isinstance(x, str) else b"" for x in texts]

@@ -6,12 +6,14 @@
 * Bands of minima of universal hash functions, as many as the threshold asks for (`scheme`): a
   pair at the threshold agrees in no band with probability (1 - 0.85^7)^40 = 2e-7 for 0.85, and
   (1 - 0.8^6)^51 = 2e-7 for 0.8.
-* Candidates come from buckets without emitting all their pairs: every member is paired with
-  the bucket's smallest, and verified links give members the label of the smallest they reach
-  in two steps.  Then each bucket that spans several labels is searched, the members outside
-  its largest label against all of other labels, in blocks of `BLOCK`: first for each member's
-  most similar partner in a block, then, with the labels that these links give, exhaustively.
-* A pair is estimated by its signatures and then confirmed on the full sets.
+* Candidates come from buckets without emitting their pairs.  Every member is paired with the
+  bucket's smallest; pairs are estimated by their signatures and confirmed on the full sets, and
+  the links label the members.  Then each bucket that still spans several labels is
+  searched, the members outside its largest label against all others, in blocks bounded by
+  members and by shingles: once for each such member's most similar partner, and once, with the
+  labels that these links give, exhaustively.  There a block holds the full sets of the members
+  that have a plausible partner in it, compares them all, and hands on only the links that join
+  components: less than it has members, however many pairs are alike.
 * Components by alternating large-star and small-star steps.
 
 Sets, classes and bands are compared by 64-bit hashes.
@@ -32,14 +34,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Words, materialise, mix, table, utf8
+from palimpsest.llm.common import Words, mapped, materialise, mix, table
 
 SHINGLE = 5
 #: A link: 100 * intersection >= threshold * union.  The query's threshold, and that of the pipeline's stage.
 THRESHOLD, STAGE_THRESHOLD = 85, 80
 #: Most minima of a document, and the probability that a pair at the threshold shares no band.
 MINIMA, MISSED = 310, 2.5e-7
-BLOCK = 512
+#: Members of a block, and their shingles, on average at most.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Documents to verify that are sent to all executors by id; beyond, texts are shuffled to them.
 BROADCAST_IDS = 500_000
 
@@ -103,9 +106,9 @@ def _set_hash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, by: Scheme) -> DataFrame:
     """doc_id, n_shingles, class (hash of the set), signature (a byte of each minimum), bands; the last three null for empty sets."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashes, first = shingles(utf8(batch["text"]))
+    def sign(slices: Iterator) -> Iterator:
+        for texts, rows in slices:
+            hashes, first = shingles(texts)
             n = np.diff(first)
             some = np.flatnonzero(n)
             kept = np.zeros((len(some), by.minima), np.uint64)
@@ -117,12 +120,13 @@ def signatures(docs: DataFrame, by: Scheme) -> DataFrame:
                 bands = mix(bands ^ kept[:, j :: by.rows])
             bands = mix(bands + np.arange(by.bands, dtype=np.uint64)).view(np.int64)
             low, every = (kept & np.uint64(255)).astype(np.uint8), _set_hash(hashes, first)
-            out = {"class": [None] * len(batch), "signature": [None] * len(batch), "bands": [None] * len(batch)}
+            of, signature, band = np.full(len(n), None), np.full(len(n), None), [None] * len(n)
+            of[some] = every[some]
             for k, i in enumerate(some.tolist()):
-                out["class"][i], out["signature"][i], out["bands"][i] = int(every[i]), low[k].tobytes(), bands[k]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "class": pd.array(out["class"], dtype="Int64"), "signature": out["signature"], "bands": out["bands"]})
+                signature[i], band[i] = low[k].tobytes(), bands[k]
+            yield rows, None, {"n_shingles": n, "class": of.tolist(), "signature": signature.tolist(), "bands": band}
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, n_shingles long, class long, signature binary, bands array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), sign, "n_shingles long, class long, signature binary, bands array<long>", ["doc_id"])
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,21 +148,26 @@ def estimated(pairs: DataFrame, members: DataFrame, by: Scheme) -> DataFrame:
     return near.mapInPandas(test, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    pairs = materialise(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = materialise(wanted.join(members.select("class", "doc_id"), "class").distinct())
+def full_sets(wanted: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, set) of the wanted classes, from their smallest document's text."""
+    wanted = materialise(wanted.distinct().join(members.select("class", "doc_id"), "class"))
     sent = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashes, first = shingles(utf8(batch["text"]))
-            own = _set_hash(hashes, first) == batch["class"].to_numpy(np.int64)
-            if own.any():
-                yield pd.DataFrame({"class": batch["class"][own], "set": [hashes[first[i] : first[i + 1]].view(np.int64) for i in np.flatnonzero(own)]})
+    def sets(slices: Iterator) -> Iterator:
+        for texts, rows in slices:
+            hashes, first = shingles(texts)
+            own = np.flatnonzero(_set_hash(hashes, first) == rows.column("class").to_numpy(zero_copy_only=False))
+            if len(own):
+                yield rows, own, {"set": [hashes[first[i] : first[i + 1]].view(np.int64) for i in own]}
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(sent, "doc_id")
+    return materialise(mapped(texts, sets, "set array<long>", ["class"]).dropDuplicates(["class"]))
 
-    full = materialise(docs.select(F.col("doc_id").cast("long"), "text").join(sent, "doc_id").mapInPandas(sets, "class long, set array<long>").dropDuplicates(["class"]))
+
+def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    pairs = materialise(pairs.distinct())
+    full = full_sets(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))), members, docs)
     both = pairs.join(full.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b").join(full.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return materialise(both.where(100 * common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
@@ -184,48 +193,76 @@ def components(edges: DataFrame) -> DataFrame:
         before, edges = now, materialise(small_star(materialise(large_star(edges))))
 
 
-def _outsiders(bucketed: DataFrame, members: DataFrame, by: Scheme, best: bool = False) -> DataFrame:
-    """Plausible pairs across components inside buckets: members outside a bucket's largest component against all, in blocks.
+def _contested(bucketed: DataFrame) -> DataFrame:
+    """(key, class, component, main, members, others): the buckets of three or more that span several components; the last two in blocks.
 
-    A pair comes from the first bucket that it shares: there its labels differ as well, and a bucket
-    of two has been tested.  With `best`, only each such member's most similar partner in each block.
+    Buckets with the same members and components are searched once.
     """
-    sizes = bucketed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = materialise(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0 and members > 2"))
-    held = materialise(bucketed.join(main, "key").join(members.select("class", "signature", "n_shingles", "bands"), "class"))
-    block = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.ceil(n / BLOCK).cast("long"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1))
-    rows = ["key", "i", "j", "outside", "class", "component", "signature", "n_shingles", "bands", "main"]
-    all_members = held.withColumn("i", block(F.col("members"), 1).cast("int")).withColumn("j", every(F.col("others"))).withColumn("outside", F.lit(False))
+    mark = F.xxhash64("class", "component").cast("decimal(38,0)")
+    sizes = bucketed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.sum(mark).alias("marks"))
+    of_key = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("marks").alias("marks"))
+    once = of_key.where("n > main.n and n > 2").groupBy("marks", "n", "w").agg(F.min(F.struct("key", "main")).alias("of"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
+    others = blocks(F.col("n") - F.col("of.main.n"), F.col("w") - F.col("of.main.w"))
+    main = materialise(once.select("of.key", F.col("of.main.component").alias("main"), blocks(F.col("n"), F.col("w")).alias("members"), others.alias("others")))
+    return materialise(bucketed.select("key", "class", "component").join(main, "key"))
+
+
+def _cells(held: DataFrame) -> DataFrame:
+    """Members outside a bucket's largest component against all its members, dealt into blocks: cells (key, i, j)."""
+    block = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), n.cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = ["key", "i", "j", "outside", "class", "component"]
+    inside = held.withColumn("i", block(F.col("members"), 1).cast("int")).withColumn("j", every(F.col("others"))).withColumn("outside", F.lit(False))
     outside = held.where("component <> main").withColumn("j", block(F.col("others"), 2).cast("int")).withColumn("i", every(F.col("members"))).withColumn("outside", F.lit(True))
-    cells = all_members.select(rows).union(outside.select(rows)).groupBy("key", "i", "j").agg(
-        F.first("main").alias("main"),
-        *(F.collect_list(F.when(F.col("outside") == side, F.col(c))).alias(f"{c}_{name}") for side, name in ((True, "o"), (False, "m")) for c in ("class", "component", "signature", "n_shingles", "bands"))
-    )
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for r in batch.itertuples(index=False):
-                if not len(r.class_o) or not len(r.class_m):
-                    continue
-                o, m = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, by.minima) for x in (r.signature_o, r.signature_m))
-                size, component, others = np.asarray(r.n_shingles_m, np.int64), np.asarray(r.component_m), np.asarray(r.class_m)
-                bands_o, bands_m = np.stack(r.bands_o), np.stack(r.bands_m)
-                band = np.flatnonzero(bands_m[0] == r.key)[0]
-                inside = component == r.main
-                for k in range(len(o)):
-                    alike, own = _alike(o[k : k + 1], m)[0], int(r.n_shingles_o[k])
-                    near = (alike >= by.estimate) & (component != r.component_o[k]) & (100 * np.minimum(size, own) >= by.threshold * np.maximum(size, own))
-                    near &= (bands_m == bands_o[k]).argmax(1) == band
-                    if best:
-                        near = np.array([np.argmax(np.where(near, alike, -1))]) if near.any() else near
-                    else:
-                        near &= inside | (others < r.class_o[k])  # two outside members meet twice
-                    found.update((max(int(c), int(r.class_o[k])), min(int(c), int(r.class_o[k]))) for c in others[near])
-            yield pd.DataFrame(sorted(found), columns=["a", "b"])
-
-    return cells.mapInPandas(search, "a long, b long")
+    return inside.select(rows).union(outside.select(rows))
+
+
+def _plausible(cells: DataFrame, members: DataFrame, by: Scheme) -> DataFrame:
+    """The cells' rows that have a partner of another component, on the other side, whose signature and size don't rule it out; and the most similar one."""
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        o, m = group[group["outside"]], group[~group["outside"]]
+        found = np.zeros(len(m), bool)
+        rows = []
+        if len(o) and len(m):
+            so, sm = (np.frombuffer(b"".join(x["signature"]), np.uint8).reshape(-1, by.minima) for x in (o, m))
+            size, component, others = m["n_shingles"].to_numpy(), m["component"].to_numpy(), m["class"].to_numpy()
+            for k, r in enumerate(o.itertuples(index=False)):
+                fits = np.flatnonzero((component != r.component) & (100 * np.minimum(size, r.n_shingles) >= by.threshold * np.maximum(size, r.n_shingles)))
+                alike = _alike(so[k : k + 1], sm[fits])[0]
+                near = fits[alike >= by.estimate]
+                if len(near):
+                    found[near] = True
+                    rows.append((r.key, r.i, r.j, True, o["class"].iat[k], r.component, others[fits[np.argmax(alike)]], float(alike.max())))
+        rows += [(r.key, r.i, r.j, False, c, r.component, None, None) for r, c in zip(m[found].itertuples(index=False), others[found])] if found.any() else []
+        return pd.DataFrame(rows, columns=["key", "i", "j", "outside", "class", "component", "partner", "alike"]).astype({"partner": "Int64"})
+
+    held = cells.join(members.select("class", "signature", "n_shingles"), "class")
+    return held.groupBy("key", "i", "j").applyInPandas(search, "key long, i int, j int, outside boolean, class long, component long, partner long, alike double")
+
+
+def _forest(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) inside cells, on full sets: those that join components, at most one less than a cell's members."""
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        classes, outside = group["class"].to_numpy(), group["outside"].to_numpy()
+        size = group["set"].map(len).to_numpy()
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        shingle = np.unique(np.concatenate(group["set"].to_list()), return_inverse=True)[1]
+        component, held, found = group["component"].to_numpy().copy(), np.zeros(shingle.max() + 1, bool), []
+        inside = np.flatnonzero(~outside)
+        for k in np.flatnonzero(outside):
+            held[:] = False
+            held[shingle[first[k] : first[k] + size[k]]] = True
+            common = np.add.reduceat(held[shingle], first)[inside]
+            for b in inside[100 * common >= threshold * (size[inside] + size[k] - common)]:
+                if component[b] != component[k]:
+                    found.append((classes[k], classes[b]))
+                    component[component == component[b]] = component[k]
+        return pd.DataFrame([(max(a, b), min(a, b)) for a, b in found], columns=["a", "b"], dtype=np.int64)
+
+    return cells.join(sets, "class").groupBy("key", "i", "j").applyInPandas(link, "a long, b long")
 
 
 def linked(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -235,7 +272,7 @@ def linked(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     real = signed.where("class is not null and doc_id is not null")
     classes = materialise(real.groupBy("class").agg(F.min("doc_id").alias("least")))
     members = materialise(real.join(classes, "class").where("doc_id = least").dropDuplicates(["class"]).drop("least"))
-    every = members.select("class", F.explode("bands").alias("key"))
+    every = members.select("class", "n_shingles", F.explode("bands").alias("key"))
     buckets = materialise(every.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1"))
     bucketed = materialise(every.join(buckets, "key"))
 
@@ -243,11 +280,17 @@ def linked(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     links = confirmed(estimated(star, members, by), members, docs, threshold)
     hop = links.groupBy("a").agg(F.min("b").alias("b"))
     label = hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("class"), F.least("b", "c").alias("component"))
-    contested = bucketed.where("n > 2").select("class", "key")
-    for best in (True, False):
-        labelled = contested.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        links = materialise(links.union(confirmed(_outsiders(labelled, members, by, best), members, docs, threshold)))
-        if best:
+    for search in ("partners", "forest"):
+        labelled = bucketed.where("n > 2").select("class", "key", "n_shingles").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        near = materialise(_plausible(_cells(_contested(labelled)), members, by))
+        if search == "partners":
+            best = near.where("outside").groupBy("class").agg(F.max_by("partner", F.struct("alike", "partner")).alias("partner"))
+            more = confirmed(best.select(F.greatest("class", "partner").alias("a"), F.least("class", "partner").alias("b")), members, docs, threshold)
+        else:
+            cells = near.select("key", "i", "j", "outside", "class", "component")
+            more = materialise(_forest(cells, full_sets(near.select("class"), members, docs), threshold).distinct())
+        links = materialise(links.union(more))
+        if search == "partners":
             label = materialise(components(links.toDF("u", "v")).withColumnRenamed("node", "class"))
 
     node = classes.select("class", F.col("least").alias("doc"))
