@@ -2,15 +2,18 @@
 
 1. `tokenised` turns every text into token pieces, of which only lengths and a CRC leave the task.
 2. The histogram of piece lengths (at most `capacity` counts, whatever the corpus) is the only thing
-   the plan is made from.  `plan` enumerates patterns of one to three length classes that fill a
-   sequence, fits their repeat counts to the histogram by non-negative least squares, rounds down,
-   and packs what is left best-fit, longest first, into the gaps and then into new sequences.  It
-   handles runs of equal pieces at once, so its work depends on the number of lengths only.
+   the plan is made from.  `by_patterns` enumerates patterns of one to three length classes that fill
+   a sequence, fits their repeat counts to the histogram by non-negative least squares (active sets,
+   so few patterns repeat often), and rounds them by largest remainder.  The residuals, which are most
+   of the short pieces, are packed best-fit, longest first, into the gaps and then into new sequences.
+   Runs of equal pieces are handled at once, so the work depends on the number of lengths only.
 3. `assign` numbers the pieces of one length (salted, so that a hot length is many groups) and looks
    each number up in the plan: a piece finds its sequence and offset without meeting other pieces.
 
 Defined results: null or empty text is the one end token; repeated rows are packed separately;
-other columns are ignored; an empty table gives no rows.
+pieces of equal length are interchangeable, so ties fall by (doc_id, piece, ids); a null doc_id
+stays null; other columns are ignored; an empty table gives no rows; a text of any length is cut
+after tokenising, never before.
 """
 
 from __future__ import annotations
@@ -21,18 +24,18 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise, table
+from palimpsest.llm.common import mapped, materialise, table
 
 CAPACITY = 4096
 END = 1
-#: Width of a length class in the fit.
-GRAIN = 16
-#: Share of the fitted repeats that is taken; the rest stays for the best fit, which needs short pieces to fill gaps.
-SHARE = 0.6
+#: Width of a length class in the fit, and most documents of a pattern.
+GRAIN, DOCUMENTS = 16, 3
+#: Pieces shorter than this part of a sequence stay out of the patterns: they fill the gaps that rounding lengths up leaves.
+FILLERS = 16
 #: Distinct words whose ids a worker remembers.
 CACHE = 1_000_000
 
@@ -74,70 +77,110 @@ class Encoder(dict):
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32; the end token closes each document's last piece."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(slices: Iterator) -> Iterator:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, end, step = Encoder(tokenizer_path), np.array([END], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
-                ids = (encode.ids(text) if isinstance(text, str) else b"") + end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Float64").astype("Int64") if out["doc_id"].isna().any() else out["doc_id"]
-            yield out
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
-
-
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Non-negative x that makes |a x - b| small: cyclic coordinate descent by accelerated projected gradients."""
-    x = y = np.zeros(a.shape[1])
-    step, t = 1 / max(np.linalg.norm(a, 2) ** 2, 1e-9), 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * (a.T @ (a @ y - b)))
-        t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        y = new + (last - 1) / t * (new - x)
-        if np.abs(new - x).max() < 1e-3:
-            return new
-        x = new
+        for texts, rows in slices:
+            at, found = [], []
+            for i, text in enumerate(texts):
+                ids = (encode.ids(text.decode("utf-8", "replace")) if text else b"") + end
+                for k, begin in enumerate(range(0, len(ids), step)):
+                    part = ids[begin : begin + step]
+                    at.append(i)
+                    found.append((k, begin // 4, len(part) // 4, zlib.crc32(part)))
+            yield rows, at, dict(zip(("piece", "start", "length", "ids_crc32"), map(list, zip(*found))))
+
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), pieces, "piece int, start long, length long, ids_crc32 long", ["doc_id"])
+
+
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The non-negative x with the least |a x - b|, by active sets (Lawson and Hanson): at most one positive entry a row of `a`."""
+    n = a.shape[1]
+    x, used = np.zeros(n), np.zeros(n, bool)
+    gradient = a.T @ b
+    least = 1e-3 * max(1.0, float(np.abs(gradient).max(initial=0)))
+    for _ in range(3 * a.shape[0] + 10):
+        candidates = np.where(used, -np.inf, gradient)
+        if used.all() or candidates.max() <= least:
+            break
+        used[np.argmax(candidates)] = True
+        while True:
+            at = np.flatnonzero(used)
+            part = a[:, at]
+            best = np.linalg.solve(part.T @ part + 1e-9 * np.eye(len(at)), part.T @ b)
+            low = best <= 1e-12
+            if not low.any():
+                break
+            step = np.min(x[at][low] / np.maximum(x[at][low] - best[low], 1e-300))
+            x[at] += step * (best - x[at])
+            gone = at[low & (x[at] <= 1e-12)]
+            x[gone], used[gone] = 0, False
+        x[:] = 0
+        x[at] = best
+        gradient = a.T @ (b - a @ x)
     return x
 
 
-def patterns(classes: int) -> list[tuple[int, ...]]:
-    """Up to three classes (each a rounded-up length in grains) that together fill a sequence exactly."""
-    out: list[tuple[int, ...]] = [(classes,)]
-    out += [(i, classes - i) for i in range(classes // 2, classes)]
-    out += [(i, j, classes - i - j) for i in range(1, classes - 1) for j in range(1, min(i, classes - i - 1) + 1) if classes - i - j <= j]
+def patterns(have: list[int], total: int, most: int) -> list[tuple[int, ...]]:
+    """Up to `most` of the classes that are there (rounded-up lengths in grains), longest first, that together fill a sequence exactly."""
+    out: list[tuple[int, ...]] = []
+
+    def grow(taken: tuple[int, ...], left: int, top: int) -> None:
+        if left == 0:
+            out.append(taken)
+        elif len(taken) < most:
+            for k in have:  # longest first
+                if k <= min(left, top) and k * (most - len(taken)) >= left:
+                    grow((*taken, k), left - k, k)
+
+    grow((), total, total)
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Sequences as (repeats, [(length, how many of it in each)]), covering the histogram exactly."""
-    left = {n: c for n, c in sorted(histogram.items()) if c > 0}
-    groups: list[tuple[int, list[tuple[int, int]]]] = []
-    if full := left.pop(capacity, 0):
-        groups.append((full, [(capacity, 1)]))
-    classes = capacity // grain
+def rounded(fitted: np.ndarray, columns: list[tuple[int, ...]], have: np.ndarray) -> np.ndarray:
+    """Whole repeats: rounded down, then one more by largest remainder, as far as the classes' stock goes."""
+    left, repeats = have.astype(np.int64), np.zeros(len(columns), np.int64)
+    use = [np.array([(k, p.count(k)) for k in sorted(set(p))]) for p in columns]
+    whole = np.floor(fitted + 1e-9)
+    for more, order in ((whole, np.argsort(-fitted, kind="stable")), (np.ones(len(columns)), np.argsort(whole - fitted, kind="stable"))):
+        for j in order:
+            if fitted[j] > 1e-6:
+                k, m = use[j].T
+                n = min(int(more[j]), int((left[k] // m).min()))
+                repeats[j] += n
+                left[k] -= n * m
+    return repeats
+
+
+Groups = list[tuple[int, list[tuple[int, int]]]]
+
+
+def by_patterns(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> tuple[Groups, list[list[int]]]:
+    """Sequences by fitted patterns, as (repeats, [(length, how many of it in each)]), and the runs [length, count] left over.
+
+    Full pieces are neither; pieces shorter than `capacity` / FILLERS are all left over, to fill gaps with.
+    """
+    left = {n: c for n, c in sorted(histogram.items()) if c > 0 and n != capacity}
+    groups: Groups = []
+    shortest = capacity / FILLERS
+    classes = -(-capacity // grain)
     stock: list[list[list[int]]] = [[] for _ in range(classes + 1)]  # by class: [length, count], longest last
     for n, c in left.items():
         stock[-(-n // grain)].append([n, c])
-    have = np.array([sum(c for _, c in s) for s in stock], float)
-    columns = [p for p in patterns(classes) if all(have[k] for k in p)]
+    have = np.array([sum(c for n, c in s if n >= shortest) for s in stock], float)
+    short = [[run for run in s if run[0] < shortest] for s in stock]
+    stock = [[run for run in s if run[0] >= shortest] for s in stock]
+    columns = patterns([k for k in range(classes, 0, -1) if have[k]], capacity // grain, DOCUMENTS)
     if columns:
         a = np.zeros((classes + 1, len(columns)))
         for j, p in enumerate(columns):
             np.add.at(a[:, j], list(p), 1)
         scale = 1 / np.sqrt(np.maximum(have, 1))  # classes count alike, whatever their size
-        fitted = SHARE * nnls(a * scale[:, None], have * scale)
-        for j in np.argsort(-fitted, kind="stable"):
-            p = columns[j]
-            wanted = int(min(fitted[j], *(have[k] // p.count(k) for k in p)))
-            for k in p:
-                have[k] -= wanted
+        repeats = rounded(nnls(a * scale[:, None], have * scale), columns, have)
+        for j in np.argsort(-repeats, kind="stable"):
+            p, wanted = columns[j], int(repeats[j])
             while wanted > 0:  # runs of equal lengths at once
                 took, n = [], wanted
                 for k in sorted(set(p)):
@@ -159,11 +202,23 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN
                     while stock[k] and stock[k][-1][1] == 0:
                         stock[k].pop()
                 wanted -= n
-    rest = sorted((run for s in stock for run in s if run[1]), reverse=True)
-    return _best_fit(groups, rest, capacity)
+    return groups, sorted((run for s in [*stock, *short] for run in s if run[1]), reverse=True)
+
+
+def pattern_share(histogram: dict[int, int], capacity: int = CAPACITY) -> float:
+    """The share of the tokens outside full pieces that fitted patterns place."""
+    placed = sum(n * m * x for n, parts in by_patterns(histogram, capacity)[0] for x, m in parts)
+    return placed / max(1, sum(n * c for n, c in histogram.items() if n != capacity))
 
 
-def _best_fit(groups: list, rest: list[list[int]], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> Groups:
+    """Sequences as (repeats, [(length, how many of it in each)]), covering the histogram exactly."""
+    groups, rest = by_patterns(histogram, capacity, grain)
+    full = histogram.get(capacity, 0)
+    return [(full, [(capacity, 1)])] * (full > 0) + _best_fit(groups, rest, capacity)
+
+
+def _best_fit(groups: Groups, rest: list[list[int]], capacity: int) -> Groups:
     """Pack runs of equal pieces, longest first, each into the fullest sequences with room; then open new ones."""
     rooms: dict[int, list[tuple[int, list]]] = {}
     for n, parts in groups:
@@ -213,16 +268,21 @@ def assign(pieces: DataFrame, groups: list[tuple[int, list[tuple[int, int]]]]) -
         first += n
     shared = pieces.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in place.items()})
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            for length, rows in batch.groupby("length").indices.items():
-                plan_rows, number = shared.value[length], batch["number"].to_numpy()[rows]
+            lengths, numbers = batch.column("length").to_numpy(), batch.column("number").to_numpy()
+            sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            for length in np.unique(lengths).tolist():
+                rows = np.flatnonzero(lengths == length)
+                plan_rows, number = shared.value[length], numbers[rows]
                 begun, first, m, at = plan_rows[np.searchsorted(plan_rows[:, 0], number, side="right") - 1].T
                 sequence[rows], offset[rows] = first + (number - begun) // m, at + (number - begun) % m * length
-            yield batch[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=sequence, offset=offset)
+            kept = [batch.column(c) for c in batch.schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInPandas(look_up, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return out.mapInArrow(look_up, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -106,6 +106,28 @@ def test_plan_covers_the_histogram():
             assert sum(n for n, _ in groups) <= 1.01 * total / 4096
 
 
+def test_patterns_place_most_tokens(spark):
+    pieces = packing.tokenised(table(spark, DATA, "documents"), packing.tokenizer_file())
+    histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
+    assert packing.pattern_share(histogram) >= 0.5
+    tokens = sum(k * v for k, v in histogram.items())
+    assert sum(n for n, _ in packing.plan(histogram)) <= 1.01 * tokens / 4096
+
+
+def test_nnls_equals_an_exhaustive_search():
+    """Against the least residual over all subsets of columns whose unconstrained solution is not negative."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        a, b = rng.integers(0, 3, (4, 6)).astype(float), rng.integers(0, 9, 4).astype(float)
+        x = packing.nnls(a, b)
+        best = min(
+            np.linalg.norm(a[:, at] @ y - b) for n in range(1, 5) for at in map(list, combinations(range(6), n)) for y in [np.linalg.lstsq(a[:, at], b, rcond=None)[0]] if (y >= -1e-9).all()
+        )
+        assert (x >= 0).all() and np.linalg.norm(a @ x - b) <= min(best, np.linalg.norm(b)) * 1.02 + 1e-2
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
