@@ -2,7 +2,7 @@
 
 1. `tokenised` turns every text into token pieces, of which only lengths and a CRC leave the task.
 2. The histogram of piece lengths (at most `capacity` counts, whatever the corpus) is the only thing
-   the plan is made from.  `by_patterns` enumerates patterns of one to three length classes that fill
+   the plan is made from.  `by_patterns` enumerates patterns of one to four length classes that fill
    a sequence, fits their repeat counts to the histogram by non-negative least squares (active sets,
    so few patterns repeat often), and rounds them by largest remainder.  The residuals, which are most
    of the short pieces, are packed best-fit, longest first, into the gaps and then into new sequences.
@@ -33,7 +33,7 @@ from palimpsest.llm.common import mapped, materialise, table
 CAPACITY = 4096
 END = 1
 #: Width of a length class in the fit, and most documents of a pattern.
-GRAIN, DOCUMENTS = 16, 3
+GRAIN, DOCUMENTS = 32, 4
 #: Pieces shorter than this part of a sequence stay out of the patterns: they fill the gaps that rounding lengths up leaves.
 FILLERS = 16
 #: Distinct words whose ids a worker remembers.
@@ -161,18 +161,17 @@ def by_patterns(histogram: dict[int, int], capacity: int = CAPACITY, grain: int
     """Sequences by fitted patterns, as (repeats, [(length, how many of it in each)]), and the runs [length, count] left over.
 
     Full pieces are neither; pieces shorter than `capacity` / FILLERS are all left over, to fill gaps with.
+    A pattern takes the longest pieces of its classes, and for its last place the longest that fits,
+    be it of a longer class.
     """
-    left = {n: c for n, c in sorted(histogram.items()) if c > 0 and n != capacity}
-    groups: Groups = []
-    shortest = capacity / FILLERS
+    left = np.zeros(capacity + 1, np.int64)
+    for n, c in histogram.items():
+        left[n] = c if n < capacity else 0
+    fitting = np.where(np.arange(capacity + 1) * FILLERS >= capacity, left, 0)
     classes = -(-capacity // grain)
-    stock: list[list[list[int]]] = [[] for _ in range(classes + 1)]  # by class: [length, count], longest last
-    for n, c in left.items():
-        stock[-(-n // grain)].append([n, c])
-    have = np.array([sum(c for n, c in s if n >= shortest) for s in stock], float)
-    short = [[run for run in s if run[0] < shortest] for s in stock]
-    stock = [[run for run in s if run[0] >= shortest] for s in stock]
+    have = np.bincount(-(-np.arange(capacity + 1) // grain), fitting, classes + 1)
     columns = patterns([k for k in range(classes, 0, -1) if have[k]], capacity // grain, DOCUMENTS)
+    groups: Groups = []
     if columns:
         a = np.zeros((classes + 1, len(columns)))
         for j, p in enumerate(columns):
@@ -180,29 +179,27 @@ def by_patterns(histogram: dict[int, int], capacity: int = CAPACITY, grain: int
         scale = 1 / np.sqrt(np.maximum(have, 1))  # classes count alike, whatever their size
         repeats = rounded(nnls(a * scale[:, None], have * scale), columns, have)
         for j in np.argsort(-repeats, kind="stable"):
-            p, wanted = columns[j], int(repeats[j])
+            wanted = int(repeats[j])
             while wanted > 0:  # runs of equal lengths at once
-                took, n = [], wanted
-                for k in sorted(set(p)):
-                    m = p.count(k)
-                    if stock[k][-1][1] >= m:
-                        n = min(n, stock[k][-1][1] // m)
-                        took.append((k, [(stock[k][-1], m)]))
-                    else:  # the last of a run and the first of the next
-                        parts, need, at = [], m, len(stock[k]) - 1
-                        while need:
-                            use = min(need, stock[k][at][1])
-                            parts.append((stock[k][at], use))
-                            need, at, n = need - use, at - 1, 1
-                        took.append((k, parts))
-                groups.append((n, [(run[0], m) for _, parts in took for run, m in parts]))
-                for k, parts in took:
-                    for run, m in parts:
-                        run[1] -= n * m
-                    while stock[k] and stock[k][-1][1] == 0:
-                        stock[k].pop()
-                wanted -= n
-    return groups, sorted((run for s in [*stock, *short] for run in s if run[1]), reverse=True)
+                parts: dict[int, int] = {}
+                room = capacity
+                for at, k in enumerate(columns[j]):
+                    top = room if at + 1 == len(columns[j]) else min(room, k * grain)
+                    length = next((x for x in range(top, (k - 1) * grain, -1) if fitting[x] > parts.get(x, 0)), 0)
+                    if not length:
+                        break
+                    parts[length] = parts.get(length, 0) + 1
+                    room -= length
+                else:
+                    n = min(wanted, *(int(fitting[x]) // m for x, m in parts.items()))
+                    groups.append((n, list(parts.items())))
+                    for x, m in parts.items():
+                        fitting[x] -= n * m
+                        left[x] -= n * m
+                    wanted -= n
+                    continue
+                break  # longer classes' last places took these pieces
+    return groups, [[n, int(left[n])] for n in range(capacity, 0, -1) if left[n]]
 
 
 def pattern_share(histogram: dict[int, int], capacity: int = CAPACITY) -> float:
