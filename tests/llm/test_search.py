@@ -91,6 +91,26 @@ def test_neighbours_hard_rows(spark, monkeypatch):
     assert [(r.vec_id) for r in neighbours.nearest(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [1, 2]
 
 
+@pytest.mark.parametrize(("n", "spread"), [(15, 0), (25, 0), (500, 0), (2000, 1.0)])
+def test_neighbours_full_lists(spark, n, spread):
+    """Few rows, and rows of very different lengths: full lists, and at least 0.9 of the true ones."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32))
+    x *= rng.lognormal(0, spread, (n, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in neighbours.nearest(rows, rows.where("vec_id % 20 = 0")).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = set(np.argsort(-s)[: min(20, n - 1)].tolist())
+        assert len(by[q]) == len(best)
+        hits += len(best & by[q]) / len(best)
+    assert hits / len(by) >= 0.9
+
+
 def test_plan_covers_the_histogram():
     rng = np.random.default_rng(2)
     for case in ({}, {4096: 3}, {1: 5}, {4095: 2, 1: 2}, {n: int(c) for n, c in zip(range(1, 4096), rng.integers(0, 4, 4095))}, {2049: 9, 2048: 1}, {1000: 10_000_000, 7: 3}):
