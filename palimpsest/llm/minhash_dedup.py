@@ -129,9 +129,17 @@ def signatures(docs: DataFrame, by: Scheme) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("long"), "text"), sign, "n_shingles long, class long, signature binary, bands array<long>", ["doc_id"])
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of each row of a with each of b."""
-    return ((a[:, None, :] == b[None, :, :]).mean(2) - 1 / 256) * (256 / 255)
+def _words(signatures: list[bytes], minima: int, fill: int) -> np.ndarray:
+    """Signatures as rows of 64-bit words, the last filled up."""
+    out = np.full((len(signatures), -(-minima // 8) * 8), fill, np.uint8)
+    out[:, :minima] = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, minima)
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray, minima: int) -> np.ndarray:
+    """Estimated similarity of the signature a with each row of b."""
+    same = np.bitwise_count((a == b).view(np.uint64)).sum(1, dtype=np.int64)
+    return (same / minima - 1 / 256) * (256 / 255)
 
 
 def estimated(pairs: DataFrame, members: DataFrame, by: Scheme) -> DataFrame:
@@ -218,6 +226,10 @@ def _cells(held: DataFrame) -> DataFrame:
     return inside.select(rows).union(outside.select(rows))
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _plausible(cells: DataFrame, members: DataFrame, by: Scheme) -> DataFrame:
     """The cells' rows that have a partner of another component, on the other side, whose signature and size don't rule it out; and the most similar one."""
 
@@ -226,11 +238,11 @@ def _plausible(cells: DataFrame, members: DataFrame, by: Scheme) -> DataFrame:
         found = np.zeros(len(m), bool)
         rows = []
         if len(o) and len(m):
-            so, sm = (np.frombuffer(b"".join(x["signature"]), np.uint8).reshape(-1, by.minima) for x in (o, m))
+            so, sm = _words(o["signature"].to_list(), by.minima, 0), _words(m["signature"].to_list(), by.minima, 1)
             size, component, others = m["n_shingles"].to_numpy(), m["component"].to_numpy(), m["class"].to_numpy()
             for k, r in enumerate(o.itertuples(index=False)):
                 fits = np.flatnonzero((component != r.component) & (100 * np.minimum(size, r.n_shingles) >= by.threshold * np.maximum(size, r.n_shingles)))
-                alike = _alike(so[k : k + 1], sm[fits])[0]
+                alike = _alike(so[k], sm[fits], by.minima)
                 near = fits[alike >= by.estimate]
                 if len(near):
                     found[near] = True
@@ -239,6 +251,7 @@ def _plausible(cells: DataFrame, members: DataFrame, by: Scheme) -> DataFrame:
         return pd.DataFrame(rows, columns=["key", "i", "j", "outside", "class", "component", "partner", "alike"]).astype({"partner": "Int64"})
 
     held = cells.join(members.select("class", "signature", "n_shingles"), "class")
+    held = held.repartition(_tasks(held), "key", "i", "j")  # few bytes, much to compare: not to be coalesced
     return held.groupBy("key", "i", "j").applyInPandas(search, "key long, i int, j int, outside boolean, class long, component long, partner long, alike double")
 
 
@@ -262,7 +275,8 @@ def _forest(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                     component[component == component[b]] = component[k]
         return pd.DataFrame([(max(a, b), min(a, b)) for a, b in found], columns=["a", "b"], dtype=np.int64)
 
-    return cells.join(sets, "class").groupBy("key", "i", "j").applyInPandas(link, "a long, b long")
+    held = cells.join(sets, "class")
+    return held.repartition(_tasks(held), "key", "i", "j").groupBy("key", "i", "j").applyInPandas(link, "a long, b long")
 
 
 def linked(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
