@@ -141,7 +141,7 @@ class Words:
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         ends = np.cumsum([len(x) + 1 for x in texts]) if texts else np.zeros(0, int)
         self.first = np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
-        self.start, self.end = start, end
+        self.data, self.start, self.end = data, start, end
         self.word = np.zeros(len(start), np.uint64)
         block = 1 << 22  # bounds the temporary arrays for a batch of very long texts
         lo = 0

@@ -1,11 +1,14 @@
 """Quality, toxicity, language model and URL filter: exact parts against brute force, models on held-out rows."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import class_lm, quality, toxicity, url_filter
-from palimpsest.llm.common import table
+from palimpsest.llm.common import Words, table
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.01"
@@ -32,17 +35,58 @@ def test_language_model_is_a_distribution(spark):
     counts = class_lm.word_counts(train).cache()
     m = class_lm.Model(counts, train)
     emitted = np.zeros(class_lm.END + 1)
-    np.add.at(emitted, m.kind, 10**m.emit)
-    once = counts.where(F.col("c") < m.cut).collect()
-    for r in once:
-        j = class_lm.ending(r.word.encode())
-        emitted[j] += (r.c - m.discount[j]) / m.mass[j]
+    np.add.at(emitted, m.known.kind.astype(int), 10**m.emit)
+    for r in counts.where(F.col("c") < m.cut).collect():
+        emitted[r.ending] += (r.c - m.discount[r.ending]) / m.mass[r.ending]
     emitted[: class_lm.ENDINGS] += 10**m.unknown
     emitted[class_lm.END] = 1
     used = [k for k in range(class_lm.END + 1) if emitted[k]]
     assert np.allclose(emitted[used], 1) and np.allclose((10**m.transition).sum(1), 1)
 
 
+def test_language_model_scores_by_brute_force(spark, monkeypatch):
+    """Every probability counted plainly from the training texts, given only the words' classes."""
+    monkeypatch.setattr(class_lm, "CORE", 4)
+    rows = [(i, t) for i, t in ROWS if t is None or len(t) < 3000] + [(None, "One two one")]
+    docs = brute.documents(spark, rows)
+    train = docs.where(~class_lm.held_out(F.col("doc_id"))).select("text")
+    m = class_lm.Model(class_lm.word_counts(train).cache(), train)
+    split = lambda t: brute.SPACED.findall(brute.low(t))
+    learned = dict(zip(m.known.words.tolist(), m.known.kind.tolist()))
+    hashed = lambda w: int(Words([w.encode()]).word[0])
+    kind = lambda w: learned[hashed(w)] if hashed(w) in learned else int(class_lm.tokens([w.encode()])[1][0])
+    texts = [split(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, end = Counter(w for t in texts for w in t), class_lm.END
+    assert {hashed(w) for w, c in counts.items() if c >= 2} == set(learned) and len(set(learned.values())) > 3
+    steps = Counter(p for t in texts for c in [[end, *map(kind, t), end]] for p in zip(c, c[1:]))
+    out_of, into = Counter(), Counter()
+    for (a, b), n in steps.items():
+        out_of[a] += n
+        into[b] += n
+    total, size = sum(steps.values()), end + 1
+    mass, once, twice, kinds = Counter(), Counter(), Counter(), Counter()
+    for w, c in counts.items():
+        mass[kind(w)] += c
+        if hashed(w) not in learned:
+            kinds[kind(w)] += 1
+            once[kind(w)] += c == 1
+            twice[kind(w)] += c == 2
+
+    def emission(w):
+        k = kind(w)
+        if hashed(w) in learned:
+            return counts[w] / mass[k]
+        d = min(0.95, max(0.05, once[k] / (once[k] + 2 * twice[k]))) if once[k] else 0.5
+        return (counts[w] - d) / mass[k] if counts[w] else d * kinds[k] / mass[k] if mass[k] else 1.0
+
+    for r in class_lm.scored(docs).where("doc_id is not null").collect():
+        t = split(dict(rows)[r.doc_id])
+        c = [end, *map(kind, t), end]
+        step = lambda a, b: (steps[a, b] + class_lm.SMOOTH * (into[b] + 1) / (total + size)) / (out_of[a] + class_lm.SMOOTH)
+        assert r.score == pytest.approx(sum(np.log10(step(a, b)) for a, b in zip(c, c[1:])) + sum(np.log10(emission(w)) for w in t), rel=1e-9)
+    assert class_lm.scored(docs.limit(0)).count() == 0
+
+
 def test_language_model_beats_unigrams_on_held_out_text(spark):
     h = class_lm.op8_class_lm(spark, DATA).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert h[1] > h[0]
