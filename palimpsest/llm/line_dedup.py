@@ -1,34 +1,37 @@
 """Line deduplication with a suffix array over line IDs, in DataFrame operations only.
 
-The alphabet is the lines' 64-bit hashes.  `suffix_array` orders the suffixes of all
-documents' line sequences by their first `depth` lines with prefix doubling: suffixes
-ranked by h lines are ranked by up to 2h lines from the pair of ranks at a place and h
-lines on.  A suffix whose rank is unique can share no longer prefix, so it is dropped;
-each round works on repeated lines alone.  Ranks are dense classes in suffix order, made
-by a range-partitioned sort.
-
-Suffixes of one rank are an interval of the array whose longest common prefix is at least
-`depth` lines.  Every member but the first (by doc_id and place) is a later copy; chained
-members are one maximal repeated run, and its lines are deleted.
+* The alphabet is the lines, known by two 64-bit hashes.  Every line of every document starts
+  a suffix of its document's line sequence.
+* `suffix_array`: prefix doubling.  A suffix's rank by its first h lines is the first place of
+  its group in the order of all suffixes; a round splits the groups by the ranks h lines on, and
+  puts the parts in order by counting.  A suffix leaves when its rank is its own or when it ends
+  inside its group; rounds go on until all have left.  Documents without open suffixes drop out,
+  so a round works on what is still repeated.
+* `common_prefixes`: the longest common prefix of each group of equal suffixes with the group
+  before it, by descending through the rounds' ranks: 2^k lines more are common if the ranks by
+  2^k lines are equal there.
+* `intervals`: stretches of the array in which neighbours have at least so many lines in common,
+  as running counts.  All suffixes of an interval start with the same lines.  Every member but
+  the first (by doc_id and place) is a later copy; chained members are one maximal repeated run,
+  and its lines are deleted.
 
 A run counts from `min_lines` lines; given `min_chars`, also from that many characters (white
-space aside) in however few lines.  Every line of such a run is in a part of at most `min_lines`
-lines that counts by itself, so longer prefixes decide nothing.  Repeated runs with fewer lines
-and fewer characters stay.  The query has lines only, as its SQL; the pipeline gives both.
+space aside) in however few lines.  A suffix's first lines fix how many lines count as a run
+(`least`, at most `min_lines`), so the intervals of `least` to `min_lines` lines decide; a longer
+run is the chain of these.  Repeated runs with fewer lines and fewer characters stay.
 
-Groups only meet in sums (with partial sums before the shuffle) and in joins that Spark
-may split, so a line that a third of all documents share is no hot task.
+Groups only meet in sums (with partial sums before the shuffle), in joins that Spark may split,
+and in sorts by range, whose parts' sums (one row a partition) are added up on the driver; so a
+line that a third of all documents share is no hot task.
 
 Defined results: null text has no lines and stays null; empty text is one empty line; the
 documents' order is doc_id, nulls first, then the text's hash; identical rows count once
-and get the same result; other columns are kept as they are.
+and get the same result; a document of any number of lines is one sequence; other columns are
+kept as they are, those named n_lines, n_removed or n_runs included: ours are in `dd`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ MIN_LINES = 3
 MIN_CHARS = 25
 
 _KEY = ["dd_doc", "dd_text"]
-_ADDED = {"n_lines", "n_removed", "n_runs"}
+_SUFFIX = [*_KEY, "pos", "left", "least"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -50,66 +53,116 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_ids(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = None) -> DataFrame:
-    """(document key, pos, rank): one row per line of each distinct document; the rank is the line's hash.  With `min_chars`, also `least`: how many lines from here on count as a run."""
-    lines = F.split("row.text", "\n")
-    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("rank")))
+    """(document key, pos, left, least, line, line2): one row per line of each distinct document: lines from here on, how many of them count as a run, and the line's hashes."""
+    lines, least = F.split("row.text", "\n"), F.lit(min_lines)
+    keyed = _keyed(docs.select("doc_id", "text")).where("row.text is not null")
     if min_chars is not None:
-        sizes = F.transform(lines, lambda x: F.char_length(F.translate(x, " \t\n\x0b\x0c\r", "")))
+        keyed = keyed.withColumn("sizes", F.transform(lines, lambda x: F.char_length(F.translate(x, " \t\n\x0b\x0c\r", ""))))
         total = lambda i, n: F.aggregate(F.slice("sizes", i + 1, F.lit(n)), F.lit(0).cast("long"), lambda x, y: x + y)
-        least = lambda i: F.coalesce(*(F.when(total(i, n) >= min_chars, n) for n in range(1, min_lines)), F.lit(min_lines))
-        ids = F.transform(lines, lambda x, i: F.struct(F.xxhash64(x).alias("rank"), least(i).alias("least")))
-    keyed = _keyed(docs.select("doc_id", "text")).where("row.text is not null")
-    keyed = keyed if min_chars is None else keyed.withColumn("sizes", sizes)
-    return keyed.select(*_KEY, ids.alias("ids")).dropDuplicates(_KEY).select(*_KEY, F.posexplode("ids").alias("pos", "line")).select(*_KEY, "pos", "line.*")
-
-
-def _repeated(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Rank each distinct prefix in order and keep the suffixes whose rank is shared."""
-    shared = pairs.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    ranks = materialise(shared.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("next", F.monotonically_increasing_id()))
-    others = [c for c in pairs.columns if c not in {*_KEY, "pos", *by}]
-    return materialise(pairs.join(ranks, by).select(*_KEY, "pos", F.col("next").alias("rank"), *others))
-
-
-def _rounds(lines: DataFrame, depth: int, every: bool = False) -> Iterator[tuple[int, DataFrame]]:
-    """(h, the suffixes that share their first h lines with another) for h doubled up to `depth`, or for `every` h."""
-    suffixes, h = _repeated(lines, ["rank"]), 1
-    yield h, suffixes
-    while h < depth:
-        step = 1 if every else min(h, depth - h)
-        ahead = Window.partitionBy(*_KEY).orderBy("pos").rangeBetween(step, step)
-        pairs = suffixes.withColumn("onward", F.first("rank").over(ahead)).where("onward is not null")
-        suffixes, h = _repeated(pairs, ["rank", "onward"]), h + step
-        yield h, suffixes
-
-
-def suffix_array(lines: DataFrame, depth: int) -> DataFrame:
-    """(document key, pos, rank): the suffixes that share their first `depth` lines with another; rank is their order."""
-    *_, (_, suffixes) = _rounds(lines, depth)
-    return suffixes
+    counts = lambda i: F.coalesce(*(F.when(total(i, n) >= min_chars, n) for n in range(1, min_lines)), least) if min_chars is not None else least
+    ids = F.transform(lines, lambda x, i: F.struct((F.size(lines) - i).alias("left"), counts(i).alias("least"), F.xxhash64(x).alias("line"), F.xxhash64(x, F.lit(7)).alias("line2")))
+    return keyed.select(*_KEY, ids.alias("ids")).dropDuplicates(_KEY).select(*_KEY, F.posexplode("ids").alias("pos", "of")).select(*_KEY, "pos", "of.*")
+
+
+def _in_order(df: DataFrame, by: list[str], **sums: str) -> tuple[DataFrame, list]:
+    """The rows dealt into ranges of `by` (`part`), and of each range its first and last value of by[0], sums, and the last value's share of them."""
+    dealt = materialise(df.repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
+    each = dealt.groupBy("part", F.col(by[0]).alias("of")).agg(*(F.sum(F.expr(v)).alias(k) for k, v in sums.items()))
+    parts = each.groupBy("part").agg(F.min("of").alias("first"), F.max("of").alias("last"), *(F.sum(k).alias(k) for k in sums), *(F.max_by(k, "of").alias(f"last_{k}") for k in sums))
+    return dealt, parts.orderBy("part").collect()  # one row a partition
+
+
+def _places(rows: DataFrame, by: list[str], open_: str) -> tuple[DataFrame, int]:
+    """(by, place, n): for each group its first place in order, and its size; and how many groups are open.  by[0] is `rank`, the place of the group that it is part of."""
+    dealt, parts = _in_order(rows.groupBy(*by).agg(F.count("*").alias("n")), by, n="n", open=f"cast({open_} as long)")
+    spark, begun, last, start, carried = rows.sparkSession, 0, None, 0, []
+    for p in parts:
+        carry = start if p.first == last else begun
+        carried.append((p.part, begun, p.first, carry))
+        start = carry if p.first == p.last else begun + p.n - p.last_n
+        last, begun = p.last, begun + p.n
+    offsets = F.broadcast(spark.createDataFrame(carried, "part int, begun long, first long, carry long"))
+    order = Window.partitionBy("part").orderBy(*by)
+    before = F.col("begun") + F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = dealt.join(offsets, "part").withColumn("before", before)
+    own = F.min("before").over(Window.partitionBy("part", "rank"))
+    place = F.col("rank") + F.col("before") - F.when(F.col("rank") == F.col("first"), F.col("carry")).otherwise(own)
+    return numbered.select(*by, place.alias("place"), "n"), sum(p["open"] for p in parts)
+
+
+def suffix_array(lines: DataFrame) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """The suffixes whose first line is repeated, each with its rank (place in the array, equal for equal suffixes) and the size n of its group; and by h, ascending, the ranks by the first h lines of suffixes that share these."""
+    columns = [*_SUFFIX, "rank", "n", "open", "since"]
+    lines = materialise(lines.withColumn("rank", F.lit(0).cast("long")))
+    by = ["rank", "line", "line2"]
+    places, groups = _places(lines, by, "n > 1")
+    first = lines.join(places, by).withColumns({"rank": F.col("place"), "open": F.col("n") > 1, "since": F.lit(1)})
+    rows, h, levels, left = materialise(first.select(columns)), 1, [], []
+    while True:
+        levels.append((h, rows.where(f"n > 1 and left >= {h}").select(*_KEY, "pos", "rank")))
+        if not groups:
+            break
+        document = Window.partitionBy(*_KEY)
+        busy = rows.withColumns({"busy": F.max("open").over(document), "next": F.first("rank").over(document.orderBy("pos").rangeBetween(h, h))})
+        busy = materialise(busy.where("busy").drop("busy"))
+        split = busy.where("open").withColumn("next", F.coalesce("next", F.lit(-1)))
+        places, groups = _places(split, ["rank", "next"], "n > 1 and next >= 0")
+        h *= 2
+        moved = split.drop("n").join(places, ["rank", "next"]).withColumns({"rank": F.col("place"), "open": F.expr("n > 1 and next >= 0"), "since": F.lit(h)})
+        rows = materialise(busy.where("not open").select(columns).union(moved.select(columns)))
+        left.append(rows.where(f"not open and since = {h}").select(*_SUFFIX, "rank", "n"))
+    array = left[0] if left else rows.where("false").select(*_SUFFIX, "rank", "n")
+    for part in left[1:]:
+        array = array.union(part)
+    return array, levels
+
+
+def common_prefixes(array: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """(rank, n, lcp): each group of equal suffixes, and how many lines it has in common with the group before it in the array."""
+    groups = materialise(array.groupBy("rank").agg(F.first("n").alias("n"), F.min(F.struct(*_KEY, "pos")).alias("at")))
+    before = groups.select((F.col("rank") + F.col("n")).alias("rank"), F.col("at").alias("other"))
+    pairs = groups.join(before, "rank").select("rank", *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("at", "other") for c in (*_KEY, "pos")), F.lit(0).alias("lcp"))
+    for h, level in reversed(levels):
+        for x in ("at", "other"):
+            here = level.select(*(F.col(c).alias(f"{x}_{c}") for c in _KEY), F.col("pos").alias(f"{x}_place"), F.col("rank").alias(f"{x}_rank"))
+            pairs = pairs.withColumn(f"{x}_place", F.col(f"{x}_pos") + F.col("lcp")).join(here, [*(f"{x}_{c}" for c in _KEY), f"{x}_place"], "left").drop(f"{x}_place")
+        more = F.when(F.col("at_rank") == F.col("other_rank"), h).otherwise(0)
+        pairs = pairs.withColumn("lcp", F.col("lcp") + more).drop("at_rank", "other_rank")
+        pairs = materialise(pairs) if h in (1, 16, 256) or h % 4096 == 0 else pairs  # four rounds a job
+    return groups.select("rank", "n").join(pairs.select("rank", "lcp"), "rank", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+
+
+def intervals(prefixes: DataFrame, most: int) -> DataFrame:
+    """(rank, interval_1, ..., interval_most): the number of the stretch of the array with at least so many lines in common that each group is in."""
+    wanted = range(1, most + 1)
+    dealt, parts = _in_order(prefixes, ["rank"], **{f"s{m}": f"cast(lcp < {m} as long)" for m in wanted})
+    begun, carried = [0] * most, []
+    for p in parts:
+        carried.append((p.part, *begun))
+        begun = [b + p[f"s{m}"] for b, m in zip(begun, wanted)]
+    offsets = F.broadcast(prefixes.sparkSession.createDataFrame(carried, "part int, " + ", ".join(f"b{m} long" for m in wanted)))
+    order = Window.partitionBy("part").orderBy("rank")
+    return materialise(dealt.join(offsets, "part").select("rank", *((F.col(f"b{m}") + F.sum(F.expr(f"cast(lcp < {m} as long)")).over(order)).alias(f"interval_{m}") for m in wanted)))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = None) -> DataFrame:
-    """(document key, runs): maximal runs [first, end) of lines that are later copies."""
-    lines, parts = line_ids(docs, min_lines, min_chars), []
-    for h, suffixes in _rounds(lines, min_lines, min_chars is not None):
-        if min_chars is not None:
-            suffixes = suffixes.where(F.col("least") <= h)
-        elif h < min_lines:
-            continue
-        first = materialise(suffixes.groupBy("rank").agg(F.min(F.struct(*_KEY, "pos")).alias("first")))
-        parts.append(suffixes.join(first, "rank").where(F.struct(*_KEY, "pos") > F.col("first")).select(*_KEY, "pos", (F.col("pos") + h).alias("end")))
-    later = reduce(DataFrame.union, parts)
+    """(document key, dd_runs): maximal runs [first, end) of lines that are later copies."""
+    array, levels = suffix_array(line_ids(docs, min_lines, min_chars))
+    found = array.withColumn("m", F.explode(F.sequence("least", F.lit(min_lines)))).where("left >= m").join(intervals(common_prefixes(array, levels), min_lines), "rank")
+    own = F.element_at(F.array(*(f"interval_{m}" for m in range(1, min_lines + 1))), F.col("m"))
+    found = materialise(found.select(*_KEY, "pos", "m", own.alias("interval")))
+    first = materialise(found.groupBy("m", "interval").agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = found.join(first, ["m", "interval"]).where(F.struct(*_KEY, "pos") > F.col("first"))
+    later = later.groupBy(*_KEY, "pos").agg((F.col("pos") + F.max("m")).alias("end"))
     order = Window.partitionBy(*_KEY).orderBy("pos")
     before = F.max("end").over(order.rangeBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce((F.col("pos") > before).cast("int"), F.lit(1))
-    later = later if min_chars is None else later.groupBy(*_KEY, "pos").agg(F.max("end").alias("end"))
     runs = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order)).groupBy(*_KEY, "run").agg(F.min("pos").alias("first"), F.max("end").alias("end"))
     return runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("dd_runs"))
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = None) -> DataFrame:
-    """Every row with `text` without its later copies, and n_lines, n_removed, n_runs at the end (columns of these names are replaced)."""
+    """Every row with `text` without its later copies, and a struct `dd` of n_lines, n_removed, n_runs at the end."""
     runs = repeated_runs(docs, min_lines, min_chars)
     lines = F.split("row.text", "\n")
     outside = lambda x, i: ~F.exists("dd_runs", lambda r: (r["first"] <= i) & (i < r["end"]))
@@ -117,16 +170,18 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | N
     out = _keyed(docs).join(runs.hint("shuffle_hash"), _KEY, "left").select("row", kept.alias("kept"), F.size(lines).alias("lines"), F.col("dd_runs").alias("runs"))
     some = lambda n, known: F.when(known.isNull(), 0).otherwise(n).cast("long")
     return out.select(
-        *(F.col(f"row.`{c}`") if c != "text" else F.array_join("kept", "\n").alias("text") for c in docs.columns if c.lower() not in _ADDED),
-        some(F.col("lines"), F.col("row.text")).alias("n_lines"),
-        some(F.col("lines") - F.size("kept"), F.col("row.text")).alias("n_removed"),
-        some(F.size("runs"), F.col("runs")).alias("n_runs"),
+        *(F.col(f"row.`{c}`") if c != "text" else F.array_join("kept", "\n").alias("text") for c in docs.columns),
+        F.struct(
+            some(F.col("lines"), F.col("row.text")).alias("n_lines"),
+            some(F.col("lines") - F.size("kept"), F.col("row.text")).alias("n_removed"),
+            some(F.size("runs"), F.col("runs")).alias("n_runs"),
+        ).alias("dd"),
     )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "dd.n_lines", "dd.n_removed", "dd.n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 #: The same rows by windows: a line goes if it is inside a window of three lines that also starts earlier.

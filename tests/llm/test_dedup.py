@@ -17,7 +17,7 @@ def docs(spark):
 
 def test_lines(docs):
     got = line_dedup.deduplicated(docs)
-    assert got.columns[: len(docs.columns)] == docs.columns
+    assert got.columns == [*docs.columns, "dd"]
     assert {r.doc_id: r.text for r in got.collect()} == brute.line_dedup(ROWS)
 
 
@@ -60,13 +60,36 @@ def test_lines_by_characters(docs):
     assert got == _runs_removed(ROWS, 3, 25) and got != brute.line_dedup(ROWS)
 
 
-def test_lines_suffix_array_orders_prefixes(spark):
-    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, "b\nc\nd\ne")]
-    ranks = line_dedup.suffix_array(line_dedup.line_ids(spark.createDataFrame(rows, "doc_id long, text string")), 2).collect()
-    shared = {}
-    for r in ranks:
-        shared.setdefault(r["rank"], set()).add((r.dd_doc, r.pos))
-    assert sorted(map(sorted, shared.values())) == [[(1, 0), (2, 1)], [(1, 1), (2, 2), (3, 0)], [(1, 2), (3, 1)]]
+def test_lines_suffix_array(spark, docs):
+    """The whole array: ranks order the repeated suffixes, equal ranks are equal suffixes, and each group's longest common prefix with the one before."""
+    array, levels = line_dedup.suffix_array(line_dedup.line_ids(docs))
+    found = array.collect()
+    texts = dict(ROWS)
+    line = {r.dd_doc: texts[r.dd_doc].split("\n") for r in found}
+    every = [tuple(t.split("\n")[p:]) for _, t in ROWS if t is not None for p in range(len(t.split("\n")))]
+    starts = [x[0] for x in every]
+    suffix = {(r.dd_doc, r.pos): tuple(line[r.dd_doc][r.pos :]) for r in found}
+    assert len(suffix) == len(found) == sum(starts.count(x) > 1 for x in starts)
+    of_rank = {}
+    for r in found:
+        assert of_rank.setdefault(r["rank"], suffix[r.dd_doc, r.pos]) == suffix[r.dd_doc, r.pos]
+    assert len(set(of_rank.values())) == len(of_rank)
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    lcp = {r["rank"]: (r.n, r.lcp) for r in line_dedup.common_prefixes(array, levels).collect()}
+    order = sorted(of_rank)
+    assert sorted(lcp) == order and max(x for _, x in lcp.values()) >= 4
+    for before, after in zip(order, order[1:]):
+        adjoin = before + lcp[before][0] == after
+        assert lcp[after][1] == (common(of_rank[before], of_rank[after]) if adjoin else 0)
+        assert adjoin or common(of_rank[before], of_rank[after]) == 0
+    for m in (1, 2, 3, 5):  # every pair that shares m lines is in one stretch with that many in common
+        stretch, number = {}, 0
+        for k in order:
+            number += lcp[k][1] < m
+            stretch[k] = number
+        for a in order:
+            for b in order:
+                assert (common(of_rank[a], of_rank[b]) >= m) == (stretch[a] == stretch[b] and (a != b or len(of_rank[a]) >= m))
 
 
 def test_substrings(docs):
