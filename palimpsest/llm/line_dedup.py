@@ -180,18 +180,20 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | N
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=MIN_CHARS)
     return out.select("doc_id", "dd.n_lines", "dd.n_removed", "dd.n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: The same rows by windows: a line goes if it is inside a window of three lines that also starts earlier.
-ORACLE = """
+#: The same rows by windows: from each line on, its first lines that count as a run (one or two with 25 characters, or three) up to three; a window that also starts earlier goes.
+ORACLE = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, len(ls) AS n, p, ls[p] AS a, ls[p + 1] AS b, ls[p + 2] AS c FROM d, UNNEST(range(1, len(ls) + 1)) AS t(p)),
-w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) > 1 AS later FROM l WHERE p + 2 <= n),
-f AS (SELECT l.doc_id, l.p, l.a, coalesce(bool_or(w.later), false) AS gone FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND w.p BETWEEN l.p - 2 AND l.p GROUP BY ALL),
-g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM f)
+e AS (SELECT doc_id, ls, list_transform(ls, lambda x: length(regexp_replace(x, '[ \t\n\x0b\f\r]', '', 'g'))) AS cs FROM d),
+l AS (SELECT doc_id, len(ls) AS n, p, ls[p] AS a, ls[p:p + 2] AS window3, CASE WHEN cs[p] >= 25 THEN 1 WHEN cs[p] + cs[p + 1] >= 25 THEN 2 ELSE 3 END AS least FROM e, UNNEST(range(1, len(ls) + 1)) AS t(p)),
+w AS (SELECT doc_id, p, k, row_number() OVER (PARTITION BY k, window3[1:k] ORDER BY doc_id, p) > 1 AS later FROM l, (SELECT unnest([1, 2, 3]) AS k) WHERE k >= least AND p + k - 1 <= n),
+g AS (SELECT DISTINCT doc_id, p + q AS p FROM w, UNNEST(range(0, k)) AS t(q) WHERE later),
+f AS (SELECT l.doc_id, l.p, l.a, g.p IS NOT NULL AS gone FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.p = l.p),
+h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM f)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed, (count(*) FILTER (opens))::BIGINT AS n_runs,
   sha256(coalesce(string_agg(a, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
-FROM g GROUP BY doc_id
+FROM h GROUP BY doc_id
 """
