@@ -71,12 +71,13 @@ def _slices(stream: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[list[
 Work = Callable[[Iterator[tuple[list[bytes], pa.RecordBatch]]], Iterator[tuple[pa.RecordBatch | None, Sequence[int] | None, dict]]]
 
 
-def mapped(df: DataFrame, work: Work, added: str, keep: Sequence[str] = (), text: str = "text") -> DataFrame:
+def mapped(df: DataFrame, work: Work, added: str, keep: Sequence[str] = (), text: str = "text", also: Sequence[str] = ()) -> DataFrame:
     """The `keep` columns of rows that `work` picks, with the columns it adds (`added`, as DDL).
 
     `work` takes (texts, rows) slice by slice, and yields (rows, places in them or None for all, new columns).
+    `rows` has the columns of `also`, too.
     """
-    source = df.select(*dict.fromkeys([*keep, text]))
+    source = df.select(*dict.fromkeys([*keep, *also, text]))
     schema = StructType([*(source.schema[c] for c in keep), *StructType.fromDDL(added).fields])
     arrow, keep = to_arrow_schema(schema), list(keep)
 

@@ -1,10 +1,13 @@
 """Line, substring and near-duplicate removal against brute force, on hard documents."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palimpsest.llm import line_dedup, minhash_dedup, substring_dedup
+from palimpsest.llm.common import Words
 from tests.llm import brute
 
 ROWS = brute.hard_texts()
@@ -98,6 +101,51 @@ def test_substrings(docs):
     assert all(s < r.doc_id for r in got for s in r.factor_source) and all(n >= substring_dedup.WINDOW for r in got for n in r.factor_words)
 
 
+def test_parse_equals_a_brute_force_parse():
+    """Greedy longest factors against blocks, and what their borders add, by trying every place."""
+    rnd = random.Random(8)
+    for case in range(60):
+        alphabet = [b"a", b"b", b"c", b"dd"][: 2 + case % 3]
+        doc = [rnd.choice(alphabet) for _ in range(rnd.randint(0, 80))]
+        blocks = [[rnd.choice(alphabet) for _ in range(rnd.randint(4, 30))] for _ in range(6)]
+        for b in blocks[:3]:
+            if len(doc) > 20:
+                at = rnd.randrange(len(doc) - 10)
+                b[2:2] = doc[at : at + rnd.randint(3, 20)]
+        reference = substring_dedup.Reference([{"source": k, "block": 5 * k, "words": b" ".join(b)} for k, b in enumerate(blocks)], 4)
+        windows = Words([b" ".join(doc)]).runs(4)[0]
+        got = substring_dedup.parse(doc, windows, reference, 4)
+
+        def longest(p, doc=doc, blocks=blocks):
+            best = (0, 0)
+            for k, b in enumerate(blocks):
+                for q in range(len(b)):
+                    n = 0
+                    while p + n < len(doc) and q + n < len(b) and doc[p + n] == b[q + n]:
+                        n += 1
+                    best = max(best, (n, -k))
+            return best
+
+        want, p = [], 0
+        while p < len(doc):
+            n, source = longest(p)
+            if n >= 4:
+                want.append((p, n, -source))
+                p += n - 3
+            else:
+                p += 1
+        assert got == want
+
+
+def test_reference_blocks_join():
+    """Blocks that follow each other are one stretch again."""
+    words = [b"w%d" % k for k in range(150)]
+    blocks = [{"source": 3, "block": k, "words": b" ".join(words[64 * k : 64 * k + 76])} for k in range(3)]
+    reference = substring_dedup.Reference(blocks, 13)
+    assert reference.words == words and reference.ends == [150] and reference.source == [3]
+    assert substring_dedup.parse(words[5:140], Words([b" ".join(words[5:140])]).runs(13)[0], reference, 13) == [(0, 135, 3)]
+
+
 def test_substrings_salted(docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", 3)
     got = substring_dedup.factored(docs).withColumn("sha", F.sha2("kept", 256)).collect()
