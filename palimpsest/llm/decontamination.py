@@ -1,218 +1,221 @@
-"""Benchmark decontamination with a document-partitioned positional inverted index.
-
-`build_index` stores, for every document, the positions of the benchmark's terms:
-one index row per document, so a hot source or term is spread over all partitions
-and nothing is shuffled.  `phrase_hits` intersects offset-adjusted posting lists,
-from a window's rarest term to its commonest, and `proximity_hits` finds windows
-whose terms stand close together in any order.
-
-Terms are lower-cased (A-Z) runs of letters, digits and non-ASCII characters.
-Benchmark items are a stated query set: they are read in blocks of `ITEMS_PER_BLOCK`,
-which bounds the broadcast vocabulary and phrase table for any benchmark size.
-
-Defined results: null or empty text has no words and is never contaminated; null
-item texts have no windows; repeated document rows each get their own result row;
-repeated items count once per item_id; other columns of the inputs are ignored.
+"""Benchmark decontamination with a distributed positional inverted index.
+
+* `build_index` stores the postings of all training tokens once, whatever the benchmark: one row
+  per block of documents (of bounded bytes), with its sorted term dictionary and each term's list
+  of places.  Blocks partition by document, so a hot source or term is spread over all of them
+  and nothing is shuffled.
+* `search` reads the stored index for each block of benchmark items.  A window's terms are looked
+  up in an index block's dictionary; the list of the rarest there gives candidate starts, which
+  are intersected with the other terms' lists, adjusted by their offsets, in order of rarity.
+  Each start that is left is an exact phrase match.
+* With `slop`, windows all of whose terms (with repeats) stand in any order within their length
+  plus so many words are proximity matches; the rarest term's places choose the stretches.
+
+Terms are lower-cased (A-Z) runs of letters, digits and non-ASCII characters, known by 64-bit
+hashes.  Benchmark items are a stated query set: they are read in blocks of at most
+`ITEMS_PER_BLOCK` items and about `WORDS_PER_BLOCK` words, which bounds the broadcast phrase table
+for any benchmark size; a window is never cut.
+
+Defined results: null or empty text has no words and is never contaminated; null item texts and
+null item_ids have no windows; repeated document rows each get their own result row; repeated
+items count once per item_id; other columns of the inputs are ignored; empty tables give no
+rows, or no hits; texts of any length are searched whole.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise, table, utf8
+from palimpsest.llm.common import Words, lists, mapped, materialise, table
 
 WINDOW = 10
-ITEMS_PER_BLOCK = 2000
+ITEMS_PER_BLOCK, WORDS_PER_BLOCK = 2000, 500_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def terms(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+def terms(texts: list[bytes]) -> Words:
+    return Words([x.translate(_FOLD) for x in texts])
 
 
 class Phrases:
-    """The windows of a block of items: term ids, padded with -1, and the order to intersect them in."""
+    """The windows of a block of items: term hashes, how many, and the items they are from."""
 
     def __init__(self, items: list[Row], window: int):
         self.items = sorted({str(r.item_id) for r in items if r.item_id is not None})  # the order of strings
         number = {x: k for k, x in enumerate(self.items)}
-        self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple, set[int]] = {}
-        for r in items:
-            if r.item_id is None or r.text is None:
-                continue
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in terms(r.text.encode("utf-8", "replace"))]
+        some = [r for r in items if r.item_id is not None and r.text is not None]
+        words = terms([r.text.encode("utf-8", "replace") for r in some])
+        for r, a, b in zip(some, words.first.tolist(), words.first[1:].tolist()):
+            ids = words.word[a:b].tolist()
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[i : i + window]), set()).add(number[str(r.item_id)])
-        self.windows = np.full((len(found), window), -1, np.int64)
         self.length = np.array([len(x) for x in found], np.int64)
         self.owners = [sorted(x) for x in found.values()]
+        self.windows = np.zeros((len(found), window), np.uint64)
         for k, x in enumerate(found):
             self.windows[k, : len(x)] = x
-        self.order = np.zeros_like(self.windows)
-
-    def rarest_first(self, frequency: np.ndarray) -> None:
-        f = np.where(self.windows >= 0, frequency[np.maximum(self.windows, 0)] if len(frequency) else 0, np.iinfo(np.int64).max)
-        self.order = np.argsort(f, axis=1, kind="stable")
+        self.inside = np.arange(window) < self.length[:, None]
 
 
 def item_blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
-    """The items, a bounded block at a time."""
+    """The items, a bounded block at a time; one empty block if there are none."""
     block: list[Row] = []
+    size, blocks = 0, 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         block.append(row)
-        if len(block) == ITEMS_PER_BLOCK:
+        size += len(row.text or "") // 4
+        if len(block) >= ITEMS_PER_BLOCK or size >= WORDS_PER_BLOCK:
             yield Phrases(block, window)
-            block = []
-    yield Phrases(block, window)
-
-
-def build_index(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    """The stored positional index: doc_id, n_words, and for each occurrence of a benchmark term its id and place."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrases.vocabulary)
-
-    def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = shared.value.get
-        for batch in batches:
-            n, term, place = [], [], []
-            for text in utf8(batch["text"]):
-                ids = np.array([get(w, -1) for w in terms(text)], np.int32)
-                at = np.flatnonzero(ids >= 0).astype(np.int32)
-                n.append(len(ids))
-                term.append(ids[at])
-                place.append(at)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_words": n, "term": term, "place": place})
-
-    return materialise(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(postings, "doc_id long, text_hash long, n_words long, term array<int>, place array<int>"))
-
-
-def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
-    """How often each benchmark term occurs in the collection; bounded by the block's vocabulary."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(n_terms, np.int64)
-        for batch in batches:
-            for x in batch["term"]:
-                total += np.bincount(x, minlength=n_terms)[:n_terms] if len(x) else 0
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"term": at, "n": total[at]})
-
-    out = np.zeros(n_terms, np.int64)
-    if n_terms:
-        for r in index.select("term").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            out[r.term] = r.n
-    return out
-
-
-def _dense(batch: pd.DataFrame, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Term id at each place of the batch's documents, -1 elsewhere and between documents; where each begins."""
-    sizes = batch["n_words"].to_numpy() + pad
-    begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    dense = np.full(begin[-1] + pad, -1, np.int64)
-    for b, t, p in zip(begin, batch["term"], batch["place"]):
-        dense[b + np.asarray(p, np.int64)] = t
-    return dense, begin
-
-
-def _intersect(dense: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """All (window, first place) by intersecting offset-adjusted posting lists, rarest term first."""
-    at = np.flatnonzero(dense >= 0)
-    at = at[np.argsort(dense[at], kind="stable")]
-    low = np.searchsorted(dense[at], np.arange(len(phrases.vocabulary) + 1))
-    every = np.arange(len(phrases.windows))
-    offset = phrases.order[every, 0]
-    pivot = phrases.windows[every, offset]
-    n = low[pivot + 1] - low[pivot]
-    window = np.repeat(every, n)
-    if not len(window):
-        return window, window
-    inside = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-    start = at[np.repeat(low[pivot], n) + inside] - np.repeat(offset, n)
-    keep = start >= 0
-    window, start = window[keep], start[keep]
-    for j in range(1, phrases.windows.shape[1]):
-        offset = phrases.order[window, j]
-        want = phrases.windows[window, offset]
-        keep = (want < 0) | (dense[np.minimum(start + offset, len(dense) - 1)] == want)
-        window, start = window[keep], start[keep]
-    return window, start
-
-
-def phrase_hits(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """Per document: doc_id, n_words, hit (places inside an occurrence of a window), items (those with occurring windows)."""
+            block, size, blocks = [], 0, blocks + 1
+    if block or not blocks:
+        yield Phrases(block, window)
+
+
+_INDEX = "doc_id array<long>, text_hash array<long>, begin array<int>, term array<long>, first array<int>, place array<int>"
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored inverted index: by block of documents their ids, where each one's words begin in the block, the block's sorted terms, and where in `place` each one's places begin."""
+
+    def postings(slices: Iterator) -> Iterator:
+        for texts, rows in slices:
+            words = terms(texts)
+            place = np.argsort(words.word, kind="stable").astype(np.int32)
+            term, first = np.unique(words.word[place], return_index=True)
+            ids, hashes = (pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays([rows.column(c)])) for c in ("doc_id", "text_hash"))
+            one = lambda x, kind: lists(x.astype(kind), np.array([0, len(x)]))
+            yield None, None, {"doc_id": ids, "text_hash": hashes, "begin": one(words.first, np.int32), "term": one(term.view(np.int64), np.int64), "first": one(np.append(first, len(place)), np.int32), "place": one(place, np.int32)}
+
+    return materialise(mapped(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"), postings, _INDEX, also=["doc_id", "text_hash"]))
+
+
+class Block:
+    """The postings of one index row, and what intersecting them takes."""
+
+    def __init__(self, row: dict[str, np.ndarray]):
+        self.begin, self.term, self.first, self.place = row["begin"].astype(np.int64), row["term"].view(np.uint64), row["first"].astype(np.int64), row["place"].astype(np.int64)
+        self.size = np.diff(self.first)
+        # place lists as one ascending list of (term, place)
+        self.keys = np.repeat(np.arange(len(self.term)) << 32, self.size) | self.place
+
+    def look_up(self, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """The windows all of whose terms are here, and their terms' numbers."""
+        if not len(self.term) or not len(p.windows):
+            return np.zeros(0, np.int64), np.zeros((0, p.windows.shape[1]), np.int64)
+        at = np.minimum(np.searchsorted(self.term, p.windows), len(self.term) - 1)
+        alive = np.flatnonzero(((self.term[at] == p.windows) | ~p.inside).all(1))
+        return alive, at[alive]
+
+    def order(self, p: Phrases, alive: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Each window's offsets, from its rarest term to its commonest."""
+        return np.argsort(np.where(p.inside[alive], self.size[at], np.iinfo(np.int64).max), axis=1, kind="stable")
+
+    def of_pivot(self, order: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of `at`, place) for all places of each window's rarest term."""
+        each = np.arange(len(at))
+        pivot = at[each, order[:, 0]]
+        n = self.size[pivot]
+        row = np.repeat(each, n)
+        return row, self.place[np.repeat(self.first[pivot], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+
+    def phrases(self, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """All (window, first place) by intersecting offset-adjusted lists, rarest term first."""
+        alive, at = self.look_up(p)
+        order = self.order(p, alive, at)
+        row, place = self.of_pivot(order, at)
+        start, length = place - order[row, 0], p.length[alive]
+        document = np.searchsorted(self.begin, start, side="right") - 1
+        keep = (document >= 0) & (start + length[row] <= self.begin[np.clip(document + 1, 0, len(self.begin) - 1)])
+        row, start = row[keep], start[keep]
+        for j in range(1, at.shape[1]):
+            offset = order[row, j]
+            key = (at[row, offset] << 32) | (start + offset)
+            there = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key if len(key) else np.zeros(0, bool)
+            keep = there | (j >= length[row])
+            row, start = row[keep], start[keep]
+        return alive[row], start
+
+    def near(self, p: Phrases, slop: int) -> set[tuple[int, int]]:
+        """(window, first place) of stretches of length + slop words of one document that begin with a term of the window and hold all its terms."""
+        alive, at = self.look_up(p)
+        order = self.order(p, alive, at)
+        row, place = self.of_pivot(order, at)
+        span = p.length[alive] + slop
+        for j in range(1, at.shape[1]):  # every other term somewhere near the rarest one's place
+            term = at[row, order[row, j]] << 32
+            low = np.searchsorted(self.keys, term | np.maximum(place - span[row] + 1, 0))
+            keep = (self.keys[np.minimum(low, len(self.keys) - 1)] <= (term | (place + span[row] - 1))) & (low < len(self.keys)) if len(row) else np.zeros(0, bool)
+            keep |= j >= p.length[alive][row]
+            row, place = row[keep], place[keep]
+        dense = np.empty(len(self.place), np.int64)
+        dense[self.place] = np.repeat(np.arange(len(self.term)), self.size)
+        out: set[tuple[int, int]] = set()
+        for r, c in zip(row.tolist(), place.tolist()):
+            need = Counter(at[r, : p.length[alive[r]]].tolist())
+            d = int(np.searchsorted(self.begin, c, side="right")) - 1
+            for a in range(max(int(self.begin[d]), c - int(span[r]) + 1), c + 1):
+                if int(dense[a]) in need and not need - Counter(dense[a : min(a + int(span[r]), int(self.begin[d + 1]))].tolist()):
+                    out.add((int(alive[r]), a))
+        return out
+
+
+def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataFrame:
+    """Per document: doc_id, text_hash, n_words, hit (places inside a phrase match), items (ids as strings, sorted, of those with phrase matches), near (of those with proximity matches; empty without `slop`)."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            dense, begin = _dense(batch, p.windows.shape[1])
-            window, start = _intersect(dense, p) if len(p.windows) else (np.zeros(0, int), np.zeros(0, int))
-            cover = np.zeros(len(dense) + 1, np.int64)
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + p.length[window], -1)
-            hit = np.cumsum(cover)[:-1] > 0
-            items: list[set[int]] = [set() for _ in range(len(batch))]
-            for w, d in zip(window.tolist(), (np.searchsorted(begin, start, side="right") - 1).tolist()):
-                items[d].update(p.owners[w])
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_words": batch["n_words"],
-                "hit": [np.flatnonzero(hit[a:b]).astype(np.int32) for a, b in zip(begin, begin[1:])],
-                "items": [[p.items[k] for k in sorted(x)] for x in items],
-            })
-
-    return index.mapInPandas(search, "doc_id long, text_hash long, n_words long, hit array<int>, items array<string>")
-
-
-def proximity_hits(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
-    """doc_id, item_id, place: windows all of whose terms (with repeats) stand, in any order, within their length + slop words.
-
-    `place` is the first place of such a stretch; the rarest term's postings choose the stretches looked at.
-    """
-    shared = index.sparkSession.sparkContext.broadcast(phrases)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
-        for batch in batches:
-            out: set[tuple] = set()
-            for doc_id, n_words, term, place in zip(batch["doc_id"], batch["n_words"], batch["term"], batch["place"]):
-                dense = np.full(n_words, -1, np.int64)
-                dense[np.asarray(place, int)] = term
-                for k, w in enumerate(p.windows):
-                    w = w[: p.length[k]]
-                    need, span = np.unique(w, return_counts=True), int(p.length[k]) + slop
-                    for at in np.flatnonzero(dense == p.windows[k, p.order[k, 0]]):
-                        for a in range(max(0, at - span + 1), at + 1):
-                            part = dense[a : a + span]
-                            if all((part == t).sum() >= c for t, c in zip(*need)) and dense[a] in w:
-                                out.update((doc_id, p.items[i], a) for i in p.owners[k])
-            yield pd.DataFrame(sorted(out, key=str), columns=["doc_id", "item_id", "place"])
-
-    return index.mapInPandas(search, "doc_id long, item_id string, place long")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document row: doc_id, n_words, hit (places), items (ids as strings, sorted); extra: text_hash."""
-    docs, found = docs.select("doc_id", "text"), []
-    for phrases in item_blocks(benchmark, window):
-        index = build_index(docs, phrases)
-        phrases.rarest_first(term_frequencies(index, len(phrases.vocabulary)))
-        found.append(phrase_hits(index, phrases))
+            for i in range(batch.num_rows):
+                of = {c: batch.column(c)[i].values for c in batch.schema.names}
+                block = Block({c: of[c].to_numpy() for c in ("begin", "term", "first", "place")})
+                begin, n = block.begin, len(block.begin) - 1
+                window, start = block.phrases(p)
+                cover = np.zeros(begin[-1] + 1, np.int64)
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + p.length[window], -1)
+                hit = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+
+                def owners(windows: list[int], starts: list[int], begin: np.ndarray = begin, n: int = n) -> list[list[str]]:
+                    found: list[set[int]] = [set() for _ in range(n)]
+                    for w, d in zip(windows, (np.searchsorted(begin, starts, side="right") - 1).tolist()):
+                        found[d].update(p.owners[w])
+                    return [[p.items[k] for k in sorted(x)] for x in found]
+
+                near = sorted(block.near(p, slop)) if slop is not None else []
+                first = np.searchsorted(hit, begin)
+                document = np.searchsorted(begin, hit, side="right") - 1
+                text = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        of["doc_id"], of["text_hash"], pa.array(np.diff(begin)), lists((hit - begin[document]).astype(np.int32), first),
+                        pa.array(owners(window.tolist(), start.tolist()), text), pa.array(owners([w for w, _ in near], [a for _, a in near]), text),
+                    ],
+                    ["doc_id", "text_hash", "n_words", "hit", "items", "near"],
+                )
+
+    return index.mapInArrow(find, "doc_id long, text_hash long, n_words long, hit array<int>, items array<string>, near array<string>")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """Per document row: doc_id, text_hash, n_words, hit (places), items and near (ids as strings, sorted)."""
+    index = build_index(docs)
+    found = [search(index, phrases, slop) for phrases in item_blocks(benchmark, window)]
     if len(found) == 1:
         return found[0]
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    rows = every.groupBy("doc_id", "text_hash").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / len(found)).cast("int").alias("copies"),
-    )
+    both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    rows = every.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), both("hit"), both("items"), both("near"), (F.count("*") / len(found)).cast("int").alias("copies"))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,11 +47,34 @@ def test_contamination(spark, monkeypatch, block):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "x a q b c z"), (2, "c b a"), (3, "a q q q b c"), (4, "a b")], "doc_id long, text string")
-    p = decontamination.Phrases(spark.createDataFrame([(7, "a b c")], "item_id long, text string").collect(), 10)
-    index = decontamination.build_index(docs, p)
-    p.rarest_first(decontamination.term_frequencies(index, 3))
-    assert {(r.doc_id, r.item_id, r.place) for r in decontamination.proximity_hits(index, p, 1).collect()} == {(1, "7", 1), (2, "7", 0)}
+    docs = spark.createDataFrame([(1, "x a q b c z"), (2, "c b a"), (3, "a q q q b c"), (4, "a b"), (5, "b c"), (6, "q a"), (7, "a c A b")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c"), (8, "a b a c")], "item_id long, text string")
+    got = {r.doc_id: (r["items"], r.near) for r in decontamination.contamination(docs, items, 10, 1).collect()}
+    assert got == {1: ([], ["7"]), 2: ([], ["7"]), 3: ([], []), 4: ([], []), 5: ([], []), 6: ([], []), 7: ([], ["7", "8"])}
+
+
+def test_proximity_by_brute_force(spark):
+    rng = random.Random(1)
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 40)))) for i in range(40)]
+    items = [(k, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 6)))) for k in range(6)]
+    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 4, 2)
+    want = {}
+    for i, t in docs:
+        w, own = t.split(), set()
+        for k, x in items:
+            x = x.split()
+            for part in (x[j : j + 4] for j in range(max(1, len(x) - 3))):
+                if any(not Counter(part) - Counter(w[a : a + len(part) + 2]) for a in range(len(w))):
+                    own.add(str(k))
+        want[i] = sorted(own)
+    assert {r.doc_id: r.near for r in got.collect()} == want and any(want.values())
+
+
+def test_item_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEMS_PER_BLOCK", 2)
+    items = spark.createDataFrame([(k, "a b") for k in range(4)], "item_id long, text string")
+    assert [len(p.items) for p in decontamination.item_blocks(items, 10)] == [2, 2]
+    assert [len(p.items) for p in decontamination.item_blocks(items.limit(0), 10)] == [0]
 
 
 def test_neighbours_recall_and_order(spark):
