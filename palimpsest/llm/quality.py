@@ -10,9 +10,10 @@ The target is fitted on at most `TARGET_ROWS` labelled rows, chosen by hash; raw
 weights cover every whole text.  The k-th largest value is found by a radix search over the
 values' bits, a bounded histogram a round, so nothing is sorted or collected.
 
-Defined results: null and empty texts have weight 0; documents that tie with the k-th value
-are all kept; repeated rows draw alike; without labels everything is kept; a null doc_id
-draws by its text; other columns are ignored.
+Defined results: null and empty texts have weight 0; values are compared in steps of 2^-20, and
+documents that tie with the k-th in these are all kept; repeated rows draw alike; without labels
+everything is kept; a null doc_id draws by its text; other columns are ignored; an empty table
+gives no rows; texts of any length are weighed whole.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise, mix, table
+from palimpsest.llm.common import mapped, materialise, mix, table
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -57,17 +57,16 @@ class Hasher(dict):
 def bucket_counts(docs: DataFrame) -> np.ndarray:
     """n-grams by bucket over all texts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(slices: Iterator) -> Iterator:
         total, hasher = np.zeros(BUCKETS, np.int64), Hasher()
-        for batch in batches:
-            for text in batch["text"]:
-                if isinstance(text, str):
-                    total += np.bincount(hasher.buckets(text), minlength=BUCKETS)
+        for texts, _ in slices:
+            for text in filter(None, texts):
+                total += np.bincount(hasher.buckets(text.decode("utf-8", "replace")), minlength=BUCKETS)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"k": at, "n": total[at]})
+        yield None, None, {"k": at, "n": total[at]}
 
     out = np.zeros(BUCKETS)
-    for r in docs.select("text").mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in mapped(docs, count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.k] = r.n
     return out
 
@@ -79,20 +78,18 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + strength * p) / (target.sum() + strength)) - np.log(p)
 
 
-def weighted(docs: DataFrame, ratio: np.ndarray, *keep: str) -> DataFrame:
-    """The `keep` columns, log_weight, and drawn: log_weight with Gumbel noise."""
+def weighted(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """doc_id, log_weight, and drawn: log_weight with Gumbel noise."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(slices: Iterator) -> Iterator:
         hasher = Hasher()
-        for batch in batches:
-            yield batch.drop(columns="text").assign(log_weight=[float(shared.value[hasher.buckets(x)].sum()) if isinstance(x, str) else 0.0 for x in batch["text"]])
+        for texts, rows in slices:
+            yield rows, None, {"log_weight": [float(shared.value[hasher.buckets(x.decode("utf-8", "replace"))].sum()) if x else 0.0 for x in texts]}
 
-    kinds = dict(docs.dtypes)
     uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", "text_hash"), F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    source = docs.select(*keep, F.xxhash64("text").alias("text_hash"), "text")
-    out = source.mapInPandas(weigh, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text_hash long, log_weight double")
-    return out.withColumn("drawn", F.col("log_weight") - F.log(-F.log(uniform))).drop("text_hash")
+    out = mapped(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), weigh, "log_weight double", ["doc_id", "text_hash"])
+    return out.select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("drawn"))
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
@@ -122,7 +119,7 @@ def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     raw = bucket_counts(docs)
     wanted = bucket_counts(docs.join(F.broadcast(target), "doc_id"))
-    scored = materialise(weighted(docs, log_ratio(wanted, raw), "doc_id"))
+    scored = materialise(weighted(docs, log_ratio(wanted, raw)))
     k = round(scored.count() * sizes.good / sizes.n) if sizes.n else scored.count()
     least = kth_largest(scored, "drawn", k) if k else None
     kept = F.lit(False) if not k else F.lit(True) if least is None else F.expr("cast(round(drawn * 1048576) as bigint)") >= round(least * 1048576)

@@ -1,19 +1,21 @@
 """Toxicity by noisy-channel restoration.
 
 A character trigram model, counted over all documents, is the language model.  A word
-that looks disguised (symbols or digits among its letters, letters repeated, letters
-spelled out one by one) becomes a lattice: each symbol may stand for the letters it
-resembles, a separator for nothing, a run of one letter for one or two of it, each at
-a channel cost.  Viterbi takes the likeliest spelling.  Restored words and their
-beginnings are weighed by naive Bayes, learned from labelled documents: telling words
-add their log-odds, every other word takes a little off.
+that looks disguised (symbols or digits among its letters, letters repeated), or a stretch
+of letters that stand alone, becomes a lattice: each symbol may stand for the letters it
+resembles, a separator for nothing, a space for nothing or for the border of two words, a
+run of one letter for one or two of it, each at a channel cost.  Viterbi takes the likeliest
+spelling.  Restored words and their beginnings are weighed by naive Bayes, learned from
+labelled documents: telling words add their log-odds, every other word takes a little off.
 
 The label model is fitted on at most `TRAIN_ROWS` labelled training rows, chosen by
 hash; the language model and the scores cover every whole text.
 
-Defined results: null and empty texts score the share of toxic rows;
-repeated rows score alike; labels rows that are null or contradict each other
-(both values for one doc_id) are not learned from; other columns are ignored.
+Defined results: null and empty texts score the share of toxic rows; repeated rows score
+alike; a null doc_id is held out; labels rows that are null or contradict each other (both
+values for one doc_id) are not learned from; of spellings that tie the one found first is
+taken, and a score equal to the threshold counts as toxic; other columns, whatever their
+names, come back in `row`; an empty table gives no rows; texts are scored whole.
 """
 
 from __future__ import annotations
@@ -24,11 +26,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise, table
+from palimpsest.llm.common import mapped, materialise, table
 
 #: Labelled rows the label model is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -44,8 +45,8 @@ CACHE = 500_000
 # What a symbol may stand for: fixed values.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 SEPARATORS = ".-_*'’~^"
-#: Channel costs (log10): a look-alike, a dropped separator, a letter behind an asterisk, a shortened run.
-LOOK, DROP, HIDDEN, SHORTEN = -1.0, -0.5, -2.5, -0.3
+#: Channel costs (log10): a look-alike, a dropped separator, a letter behind an asterisk, a shortened run, a dropped space.
+LOOK, DROP, HIDDEN, SHORTEN, JOIN = -1.0, -0.5, -2.5, -0.3, -0.2
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 _CODE = {c: k + 1 for k, c in enumerate(_LETTERS)}
@@ -56,29 +57,28 @@ for _c in range(0x250):
 
 _EDGES = re.compile(r"^[^\w@$!|+€£]+|[\W_]+$")
 _NOISY = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|^[\d@$!|+€£]+[^\W\d_]|([^\W\d_])\1\1|[^\W\d_]\d+$")
-_SPELLED = re.compile(r"(?<!\S)[^\W_](?:[ ._\-][^\W_]){2,}(?!\w)")
+_SPELLED = re.compile(r"(?<!\S)[\w@$!|+€£](?:[ ._\-]+[\w@$!|+€£]){2,}(?!\w)")
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """log10 P(c | a, b) by interpolated trigrams, counted over all texts; 64 codes, so its size is fixed."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(slices: Iterator) -> Iterator:
         total = np.zeros(_SIZE**3, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                if isinstance(text, str) and text:
-                    code = np.frombuffer(f"  {text} ".encode("utf-32-le", "replace"), np.uint32)
-                    code = np.where(code < 0x250, _TABLE[np.minimum(code, 0x24F)], _OTHER)
-                    total += np.bincount((code[:-2] * _SIZE + code[1:-1]) * _SIZE + code[2:], minlength=_SIZE**3)
+        for texts, _ in slices:
+            for text in filter(None, texts):
+                code = np.frombuffer(f"  {text.decode('utf-8', 'replace')} ".encode("utf-32-le", "replace"), np.uint32)
+                code = np.where(code < 0x250, _TABLE[np.minimum(code, 0x24F)], _OTHER)
+                total += np.bincount((code[:-2] * _SIZE + code[1:-1]) * _SIZE + code[2:], minlength=_SIZE**3)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"k": at, "n": total[at]})
+        yield None, None, {"k": at, "n": total[at]}
 
     c = np.zeros(_SIZE**3)
-    for r in docs.select("text").mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in mapped(docs, count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         c[r.k] = r.n
     c = c.reshape(_SIZE, _SIZE, _SIZE)
     two, one = c.sum(0), c.sum((0, 1))
@@ -106,6 +106,10 @@ class Restorer:
                 yield i + n, c, SHORTEN
                 yield i + n, c + c, 0.0 if n == 2 else SHORTEN
             return
+        if c == " ":
+            yield i + 1, " ", 0.0
+            yield i + 1, "", JOIN
+            return
         for x in LOOKS_LIKE.get(c, ""):
             yield i + 1, x, LOOK
         if c == "*":
@@ -125,7 +129,7 @@ class Restorer:
                 for to, letters, cost in edges:
                     s, x, y = score + cost, a, b
                     for c in letters:
-                        k = code(c, _OTHER)
+                        k = 0 if c == " " else code(c, _OTHER)
                         s += model[x][y][k]
                         x, y = y, k
                     old = ahead[to].get((x, y))
@@ -136,22 +140,22 @@ class Restorer:
 
 
 def words(text: str) -> set[str]:
-    """Distinct lower-case words, with words spelled letter by letter joined."""
+    """Distinct lower-case words, and stretches of characters that stand alone."""
     text = text.lower()
-    found = set(text.split())
-    if spelled := _SPELLED.findall(text):
-        found.update(re.sub(r"[ ._\-]", "", x) for x in spelled)
-    return found
+    return {*text.split(), *_SPELLED.findall(text)}
 
 
 def restored(word: str, restore: Restorer) -> str:
+    """The likeliest spelling of a word, or the words of a stretch."""
+    if " " in word:
+        return restore(word)
     core = word if word.isalpha() else _EDGES.sub("", word)
     return restore(core) if _NOISY.search(core) else core
 
 
-def features(word: str) -> list[str]:
-    """The word itself and its beginnings."""
-    return [word, *(f"{word[:n]}^" for n in PREFIXES if len(word) > n)] if len(word) > 2 else []
+def features(spelling: str) -> list[str]:
+    """Each word itself and its beginnings."""
+    return [f for word in spelling.split() if len(word) > 2 for f in (word, *(f"{word[:n]}^" for n in PREFIXES if len(word) > n))]
 
 
 class Lexicon(dict):
@@ -199,13 +203,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Fitted]:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = materialise(training_rows(docs, labels))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(slices: Iterator) -> Iterator:
         restore, seen = Restorer(shared.value), {}
-        for batch in batches:
+        for texts, labelled in slices:
             total: dict[tuple, list[int]] = {}
-            for text, toxic in zip(batch["text"], batch["toxic"]):
+            for text, toxic in zip(texts, labelled.column("toxic").to_pylist()):
                 found: Counter = Counter()
-                for w in words(text) if isinstance(text, str) else ():
+                for w in words(text.decode("utf-8", "replace")):
                     if w not in seen:
                         seen[w] = features(restored(w, restore))
                     found.update(seen[w])
@@ -216,11 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Fitted]:
                     both[1] += 1
             if len(seen) > CACHE:
                 seen.clear()
-            yield pd.DataFrame([(f, t, n, d) for (f, t), (n, d) in total.items()], columns=["feature", "toxic", "n", "docs"])
+            yield None, None, {"feature": [f for f, _ in total], "toxic": [t for _, t in total], "n": [n for n, _ in total.values()], "docs": [d for _, d in total.values()]}
 
     of = lambda c, toxic: F.sum(F.when(F.col("toxic") == toxic, F.col(c)).otherwise(0))
     counts = materialise(
-        rows.mapInPandas(count, "feature string, toxic int, n long, docs long").groupBy("feature")
+        mapped(rows, count, "feature string, toxic int, n long, docs long", also=["toxic"]).groupBy("feature")
         .agg(of("n", 1).alias("t"), of("n", 0).alias("c"), of("docs", 1).alias("docs"), F.sum("docs").alias("all"))
     )
     every = counts.where("feature = ''").first()
@@ -228,32 +232,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Fitted]:
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + PRIOR) / (clean + 2 * PRIOR))
     chosen = counts.where((F.col("docs") >= LEAST_DOCS) & (F.col("feature") != "")).select("feature", weight.alias("w")).where(F.col("w") >= LEAST_WEIGHT)
     fitted = Fitted({r.feature: r.w for r in chosen.collect()}, 0.0, (docs_toxic + 0.5) / (docs_all + 5))  # bounded by the training rows' words
-    told = score_totals(rows.where("toxic = 1"), model, fitted, "toxic").agg(F.sum("nc_told")).first()[0] or 0
+    told = score_totals(rows.where("toxic = 1"), model, fitted).agg(F.sum("told")).first()[0] or 0
     fitted.other = told / max(1, toxic) / THIN
     return model, fitted
 
 
-def score_totals(docs: DataFrame, model: np.ndarray, fitted: Fitted, *keep: str) -> DataFrame:
-    """Every row's `keep` columns, nc_log_odds, and nc_told (its distinct telling words)."""
+def score_totals(docs: DataFrame, model: np.ndarray, fitted: Fitted) -> DataFrame:
+    """Every row as a struct `row`, its log_odds, and `told` (its distinct telling words)."""
     shared = docs.sparkSession.sparkContext.broadcast((model, fitted))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(slices: Iterator) -> Iterator:
         lexicon = Lexicon(shared.value[1], Restorer(shared.value[0]))
-        for batch in batches:
-            found = [lexicon.log_odds(x if isinstance(x, str) else "") for x in batch["text"]]
-            yield batch[list(keep)].assign(nc_log_odds=[x for x, _ in found], nc_told=[n for _, n in found])
+        for texts, rows in slices:
+            found = [lexicon.log_odds(x.decode("utf-8", "replace")) for x in texts]
+            yield rows, None, {"log_odds": [float(x) for x, _ in found], "told": [n for _, n in found]}
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(score, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", nc_log_odds double, nc_told long")
+    return mapped(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"), score, "log_odds double, told long", ["row"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
-    """Every row's `keep` columns, and nc_score, from 0 to 1."""
-    model, fitted = fit(docs, labels)
-    scored = score_totals(docs, model, fitted, *keep)
-    return scored.select(*keep, (1 / (1 + F.exp(-F.greatest(F.least("nc_log_odds", F.lit(60.0)), F.lit(-60.0))))).alias("nc_score"))
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row as a struct `row`, and its score, from 0 to 1."""
+    scored = score_totals(docs, *fit(docs.select("doc_id", "text"), labels))
+    return scored.select("row", (1 / (1 + F.exp(-F.greatest(F.least("log_odds", F.lit(60.0)), F.lit(-60.0))))).alias("score"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("nc_score").alias("score"), (F.col("nc_score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    doc_id = F.col("row.doc_id")
+    return scored.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

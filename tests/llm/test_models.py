@@ -1,5 +1,6 @@
 """Quality, toxicity, language model and URL filter: exact parts against brute force, models on held-out rows."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -109,7 +110,36 @@ def test_restoration(spark):
     restore = toxicity.Restorer(model)
     for seen, want in {"stup1d": "stupid", "$tupid": "stupid", "m0ron": "moron", "tr@sh": "trash", "w.o.r.t.h.l.e.s.s": "worthless", "stuuupid": "stupid", "d1sgu$ting": "disgusting", "the&&&": "the", "the": "the"}.items():
         assert toxicity.restored(seen, restore) == want
-    assert "stupid" in toxicity.words("so s t u p i d, s-t-u") and "moron" in toxicity.words("m.o.r.o.n")
+    spelled = {toxicity.restored(w, restore) for w in toxicity.words("so s t u p i d, m.o.r.o.n and  i d 1 o t  c l o w n.")}
+    assert {"so", "stupid", "moron"} < spelled and any("idiot" in w.split() or "idiotclown" in w for w in spelled)
+
+
+def test_restoration_by_brute_force():
+    """Viterbi's spelling is the likeliest of all paths through the lattice."""
+    rng = np.random.default_rng(7)
+    model = np.log10(rng.dirichlet(np.ones(toxicity._SIZE), (toxicity._SIZE, toxicity._SIZE)))
+    restore = toxicity.Restorer(model)
+
+    def paths(word, i=0):
+        if i == len(word):
+            yield 0.0, ""
+            return
+        for to, letters, cost in restore.edges(word, i):
+            for more, rest in paths(word, to):
+                yield cost + more, letters + rest
+
+    def score(letters):
+        a = b = total = 0
+        for c in [*letters, " "]:
+            k = 0 if c == " " else toxicity._CODE.get(c, toxicity._OTHER)
+            total += model[a][b][k]
+            a, b = b, k
+        return total
+
+    for word in ("st1", "a.b", "s t 0", "aab$", "x y z", "b||", "4 b.1", "$$", "a", "e--e"):
+        best = max(cost + score(letters) for cost, letters in paths(word))
+        spellings = {letters for cost, letters in paths(word) if cost + score(letters) >= best - 1e-9}
+        assert restore(word) in spellings
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -122,9 +152,9 @@ def test_toxicity_hard_rows(spark):
     docs = brute.documents(spark, [*ROWS, (None, "x"), (50, None)])
     labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (None, 1, 1), (2, None, None), (3, 0, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.limit(0)):
-        got = toxicity.toxicity(docs, some, "doc_id").collect()
-        assert len(got) == len(ROWS) + 2 and all(0 <= r.nc_score <= 1 for r in got)
-    assert toxicity.toxicity(docs.limit(0), labels, "doc_id").count() == 0
+        got = toxicity.toxicity(docs, some).collect()
+        assert len(got) == len(ROWS) + 2 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
 def test_quality_keeps_the_good(spark):
@@ -134,6 +164,25 @@ def test_quality_keeps_the_good(spark):
     assert share[1] > 0.97 and share[0] < 0.2
 
 
+def test_quality_weights_by_brute_force(spark):
+    rows = [(i, t) for i, t in ROWS if i < 60]
+    docs = brute.documents(spark, rows)
+    wanted = docs.where("doc_id < 7")
+    ratio = quality.log_ratio(quality.bucket_counts(wanted), quality.bucket_counts(docs))
+
+    def buckets(text):
+        one = [int(quality.mix(np.array([zlib.crc32(x.encode())], np.uint64))[0]) for x in re.findall(r"\w+|[^\w\s]+", text or "")]
+        two = [int(quality.mix(np.array([(a * 3 + b) % 2**64], np.uint64))[0]) for a, b in zip(one, one[1:])]
+        return [x % quality.BUCKETS for x in one + two]
+
+    raw, target = (Counter(b for i, t in rows if i < top for b in buckets(t)) for top in (60, 7))
+    n, size, strength = sum(raw.values()), quality.BUCKETS, quality.SMOOTH * quality.BUCKETS
+    p = lambda b: (raw[b] + 1) / (n + size)
+    weight = lambda t: sum(np.log((target[b] + strength * p(b)) / (sum(target.values()) + strength) / p(b)) for b in buckets(t))
+    for r in quality.weighted(docs.select("doc_id", "text"), ratio).collect():
+        assert r.log_weight == pytest.approx(weight(dict(rows)[r.doc_id]), rel=1e-9, abs=1e-9) and r.drawn > r.log_weight - 5
+
+
 def test_quality_weights_and_kth(spark):
     values = spark.createDataFrame([(float(x),) for x in np.random.default_rng(1).normal(0, 50, 500)] + [(3.0,)] * 5, "v double")
     order = sorted((r.v for r in values.collect()), reverse=True)
@@ -172,6 +221,6 @@ def test_partitions_without_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "x y")], "item_id long, text string")
-    made = [class_lm.scored(docs), quality.resampled(docs, labels), toxicity.toxicity(docs, labels, "doc_id"), minhash_dedup.linked(docs), substring_dedup.factored(docs)]
+    made = [class_lm.scored(docs), quality.resampled(docs, labels), toxicity.toxicity(docs, labels), minhash_dedup.linked(docs), substring_dedup.factored(docs)]
     made += [decontamination.contamination(docs, items), packing.pack(docs, packing.tokenizer_file())]
     assert [x.count() for x in made] == [3] * len(made)
