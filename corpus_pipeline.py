@@ -1,15 +1,18 @@
 """The corpus pipeline: toxicity, line dedup, MinHash dedup, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all
-but the last return the columns of `documents`.
+but the last return the columns of `documents`.  Nulls, repeated rows and ties are as the
+operators' modules say, empty tables give empty tables, and further columns, whatever their
+names, are handed on.
 
 * toxicity drops documents that score at least the operator's threshold; null and empty texts stay.
 * line_dedup deletes later copies of line runs of three lines or 25 characters, updates n_chars, and drops documents of which
   nothing is left because every line is a later copy.
 * minhash_dedup keeps the document with the smallest doc_id of each group of links from 0.8; rows that share a
   doc_id, and rows without one, stay together.
-* decontamination drops documents that hold a benchmark window.
-* packing returns the pieces of the rest.
+* decontamination drops documents that hold a benchmark window; null texts stay, and of rows that share a doc_id
+  only those whose text holds one go.
+* packing returns the pieces of the rest; repeated rows are packed separately, null texts as one end token.
 """
 
 from __future__ import annotations
@@ -24,8 +27,7 @@ from palimpsest.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), *docs.columns)
-    return scored.where(F.col("nc_score") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
