@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Bytes of text that a Python worker holds at once, or one text if that is longer.
-BATCH_BYTES = 8 << 20
+#: Bytes of text that a Python worker holds at once, or one text if that is longer.  Its words' arrays then stay in a core's cache.
+BATCH_BYTES = 1 << 20
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -93,6 +93,39 @@ def mapped(df: DataFrame, work: Work, added: str, keep: Sequence[str] = (), text
     return source.mapInArrow(run, schema)
 
 
+def grouped(df: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """`work` on each group of rows with equal keys (integers), as arrays by column; it returns rows of `schema`.
+
+    For many small groups: a batch of rows is split by array operations, and the partitions are not coalesced.
+    A group must fit into memory.
+    """
+    names = StructType.fromDDL(schema).names
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+
+        def done(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+            columns = {c: rows[c].to_numpy() for c in rows.columns}
+            found = [x for a, b in zip(edges, edges[1:]) for x in work({c: v[a:b] for c, v in columns.items()})]
+            return pd.DataFrame(found, columns=names)
+
+        for batch in batches:
+            rows = pd.concat([*rest, batch], ignore_index=True) if rest else batch
+            of = rows[keys].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1]) if len(rows) else np.zeros(1, np.int64)
+            if edges[-1]:
+                yield done(rows.iloc[: edges[-1]], edges)
+                rest = [rows.iloc[edges[-1] :]]
+            else:
+                rest.append(batch) if rest else rest.extend([batch])
+        if rest and sum(map(len, rest)):
+            rows = pd.concat(rest, ignore_index=True)
+            yield done(rows, np.array([0, len(rows)]))
+
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     """A list column from all its values and where each list begins (and the last ends)."""
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))

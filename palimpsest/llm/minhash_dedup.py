@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Words, mapped, materialise, mix, table
+from palimpsest.llm.common import Words, grouped, mapped, materialise, mix, table
 
 SHINGLE = 5
 #: A link: 100 * intersection >= threshold * union.  The query's threshold, and that of the pipeline's stage.
@@ -226,57 +226,51 @@ def _cells(held: DataFrame) -> DataFrame:
     return inside.select(rows).union(outside.select(rows))
 
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _plausible(cells: DataFrame, members: DataFrame, by: Scheme) -> DataFrame:
     """The cells' rows that have a partner of another component, on the other side, whose signature and size don't rule it out; and the most similar one."""
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        o, m = group[group["outside"]], group[~group["outside"]]
-        found = np.zeros(len(m), bool)
-        rows = []
+    def search(cell: dict[str, np.ndarray]) -> list[tuple]:
+        o, m = np.flatnonzero(cell["outside"]), np.flatnonzero(~cell["outside"].astype(bool))
+        rows: list[tuple] = []
         if len(o) and len(m):
-            so, sm = _words(o["signature"].to_list(), by.minima, 0), _words(m["signature"].to_list(), by.minima, 1)
-            size, component, others = m["n_shingles"].to_numpy(), m["component"].to_numpy(), m["class"].to_numpy()
-            for k, r in enumerate(o.itertuples(index=False)):
-                fits = np.flatnonzero((component != r.component) & (100 * np.minimum(size, r.n_shingles) >= by.threshold * np.maximum(size, r.n_shingles)))
+            at = (cell["key"][0], cell["i"][0], cell["j"][0])
+            so, sm = _words(cell["signature"][o].tolist(), by.minima, 0), _words(cell["signature"][m].tolist(), by.minima, 1)
+            size, component, of = cell["n_shingles"], cell["component"], cell["class"]
+            found = np.zeros(len(m), bool)
+            for k, r in enumerate(o.tolist()):
+                fits = np.flatnonzero((component[m] != component[r]) & (100 * np.minimum(size[m], size[r]) >= by.threshold * np.maximum(size[m], size[r])))
                 alike = _alike(so[k], sm[fits], by.minima)
                 near = fits[alike >= by.estimate]
                 if len(near):
                     found[near] = True
-                    rows.append((r.key, r.i, r.j, True, o["class"].iat[k], r.component, others[fits[np.argmax(alike)]], float(alike.max())))
-        rows += [(r.key, r.i, r.j, False, c, r.component, None, None) for r, c in zip(m[found].itertuples(index=False), others[found])] if found.any() else []
-        return pd.DataFrame(rows, columns=["key", "i", "j", "outside", "class", "component", "partner", "alike"]).astype({"partner": "Int64"})
+                    rows.append((*at, True, of[r], component[r], of[m[fits[np.argmax(alike)]]], float(alike.max())))
+            rows += [(*at, False, of[r], component[r], of[r], 0.0) for r in m[found].tolist()]
+        return rows
 
     held = cells.join(members.select("class", "signature", "n_shingles"), "class")
-    held = held.repartition(_tasks(held), "key", "i", "j")  # few bytes, much to compare: not to be coalesced
-    return held.groupBy("key", "i", "j").applyInPandas(search, "key long, i int, j int, outside boolean, class long, component long, partner long, alike double")
+    return grouped(held, ["key", "i", "j"], search, "key long, i int, j int, outside boolean, class long, component long, partner long, alike double")
 
 
 def _forest(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) inside cells, on full sets: those that join components, at most one less than a cell's members."""
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        classes, outside = group["class"].to_numpy(), group["outside"].to_numpy()
-        size = group["set"].map(len).to_numpy()
+    def link(cell: dict[str, np.ndarray]) -> list[tuple]:
+        of, outside, component = cell["class"], cell["outside"].astype(bool), cell["component"].copy()
+        size = np.array([len(x) for x in cell["set"]])
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        shingle = np.unique(np.concatenate(group["set"].to_list()), return_inverse=True)[1]
-        component, held, found = group["component"].to_numpy().copy(), np.zeros(shingle.max() + 1, bool), []
-        inside = np.flatnonzero(~outside)
+        shingle = np.unique(np.concatenate(cell["set"].tolist()), return_inverse=True)[1]
+        held, found, inside = np.zeros(len(shingle), bool), [], np.flatnonzero(~outside)
         for k in np.flatnonzero(outside):
             held[:] = False
             held[shingle[first[k] : first[k] + size[k]]] = True
-            common = np.add.reduceat(held[shingle], first)[inside]
+            common = np.add.reduceat(held[shingle], first, dtype=np.int64)[inside]
             for b in inside[100 * common >= threshold * (size[inside] + size[k] - common)]:
                 if component[b] != component[k]:
-                    found.append((classes[k], classes[b]))
+                    found.append((max(of[k], of[b]), min(of[k], of[b])))
                     component[component == component[b]] = component[k]
-        return pd.DataFrame([(max(a, b), min(a, b)) for a, b in found], columns=["a", "b"], dtype=np.int64)
+        return found
 
-    held = cells.join(sets, "class")
-    return held.repartition(_tasks(held), "key", "i", "j").groupBy("key", "i", "j").applyInPandas(link, "a long, b long")
+    return grouped(cells.join(sets, "class"), ["key", "i", "j"], link, "a long, b long")
 
 
 def linked(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

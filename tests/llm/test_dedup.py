@@ -179,6 +179,20 @@ def test_near_duplicates_chain(spark):
     assert _components(minhash_dedup.linked(brute.documents(spark, rows))) == want
 
 
+def test_forest_of_a_cell(spark):
+    """Only links that join components, on full sets, and all of the components that the cell's links make."""
+    base = list(range(100))
+    sets = {1: base, 2: [*base[5:], 200, 201], 3: [*base[10:], 300], 4: list(range(500, 560)), 5: list(range(503, 563)), 6: [*base[:60], *range(900, 940)]}
+    cells = [(9, 0, 0, True, c, c) for c in (2, 3, 5, 6)] + [(9, 0, 0, False, c, c) for c in sets] + [(9, 0, 1, True, 5, 5), (9, 0, 1, False, 4, 4)]
+    made = minhash_dedup._forest(
+        spark.createDataFrame(cells, "key long, i int, j int, outside boolean, class long, component long"), spark.createDataFrame(list(sets.items()), "class long, set array<long>"), 85
+    )
+    got = {(r.a, r.b) for r in made.collect()}
+    alike = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})
+    assert len(got) == 3 and all(alike(a, b) for a, b in got)
+    assert {frozenset(x) for x in got if 5 in x or 4 in x} == {frozenset((4, 5))} and {c for x in got for c in x} == {1, 2, 3, 4, 5}
+
+
 def test_near_duplicates_at_the_stage_threshold(spark):
     """Pairs between 0.8 and 0.85 are linked at 80 and by the pipeline's stage, not at 85."""
     words = [f"w{k}" for k in range(6000)]
