@@ -208,9 +208,45 @@ def test_url_rules(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
-def test_segmentation():
-    cut = url_filter.Segmenter({"": -6.0, "news": -2.0, "paper": -2.5, "newspaper": -5.5, "a": -1.0})
-    assert cut["newspaper"] == ["news", "paper"] and cut["apaper"] == ["a", "paper"] and "".join(cut["zzqpaper"]) == "zzqpaper"
+def test_segmentation(spark):
+    """Viterbi against all ways to cut, and through the lexicon's join."""
+    counts = {"news": 100, "paper": 30, "newspaper": 1, "a": 500, "pap": 2, "er": 2, "pa": 9}
+    total = sum(counts.values())
+    shares = {w: np.log10(n / total) for w, n in counts.items()}
+    unknown = -np.log10(total) - 1
+
+    def cuts(x):
+        return [[x[:i], *rest] for i in range(1, len(x) + 1) for rest in (cuts(x[i:]) if x[i:] else [[]])]
+
+    cost = lambda words: sum(shares.get(w, unknown - 0.8 * len(w)) for w in words)
+    labels = ["newspaper", "apaper", "zzqpaper", "anewsa", "q", "paperer"]
+    for x in labels:
+        got = url_filter.segment(x, shares, total)
+        assert "".join(got) == x and cost(got) == pytest.approx(max(map(cost, cuts(x))))
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    rows = url_filter.segmented(spark.createDataFrame([(x,) for x in [*labels, "y" * 64]], "label string"), words).collect()
+    assert {r.label: r.words for r in rows} == {**{x: url_filter.segment(x, shares, total) for x in labels}, "y" * 64: ["y" * 64]}
+    hosts = spark.createDataFrame([("newspaper7.a-zzq.a",), ("",), ("newspaper7.a-zzq.a",)], "host string")
+    assert [r.words for r in url_filter.host_words(hosts, words).collect()] == [["news", "paper", "#", "a", "zzq", "a"]]
+
+
+def test_url_verdicts_by_brute_force(spark):
+    """Naive Bayes counted plainly over the tokens of the urls that a rule decides."""
+    rng = np.random.default_rng(3)
+    urls = [f"https://{rng.choice(['ab', 'abcd', 'cd9'])}.example.{rng.choice(['com', 'net', 'io'])}/{rng.choice(['en', 'de', 'xx'])}/{rng.choice(['p1', 'sale', 'blog'])}-{k % 5}" for k in range(80)]
+    pages = spark.createDataFrame([(k, u, "<b>ab</b> ab cd io") for k, u in enumerate([*urls, *urls[:3], None, "none"])], "page_id long, url string, html string")
+    rows = url_filter.judged(pages).collect()
+    tokens = {r.page_id: [*(r.words or []), *("/" + ("#" if x.isdigit() else x) for x in re.findall(r"[^\W_]+", r.path.lower()))] for r in rows}
+    decided = {r.page_id: r.verdict for r in rows if r.rule}
+    counts = {v: Counter(t for i, x in decided.items() if x == v for t in tokens[i]) for v in ("block", "allow")}
+    vocabulary = len({*counts["block"], *counts["allow"]})
+    number = {v: sum(x == v for x in decided.values()) for v in counts}
+    weight = lambda v, t: np.log((counts[v][t] + 1) / (sum(counts[v].values()) + vocabulary + 1))
+    assert len(rows) == 85 and {r.verdict for r in rows if not r.rule} <= {"block", "allow"} and number["block"] and number["allow"]
+    for r in rows:
+        known = [t for t in tokens[r.page_id] if counts["block"][t] + counts["allow"][t]]
+        odds = np.log((number["block"] + 1) / (number["allow"] + 1)) + sum(weight("block", t) - weight("allow", t) for t in known)
+        assert r.block_log_odds == pytest.approx(odds) and (r.rule or r.verdict == ("block" if odds > 0 else "allow"))
 
 
 def test_partitions_without_rows(spark):
