@@ -36,9 +36,13 @@ def with_history(log: DataFrame) -> DataFrame:
 def visible_at(log: DataFrame, revision: int | None = None) -> DataFrame:
     """One row per key alive at `revision` (head if None): key, create_*, mod_*, version, value."""
     rows = log if revision is None else log.where(F.col("main") <= revision)
-    last = with_history(rows).where(F.col("next_main").isNull() & (F.col("kind") == 0))
-    value = [F.col("value")] if "value" in log.columns else []
-    return last.select("key", "create_main", "create_sub", F.col("main").alias("mod_main"), F.col("sub").alias("mod_sub"), "version", *value)
+    revision_ = F.struct(*REVISION)
+    deleted = F.max(F.when(F.col("kind") == 1, revision_)).over(Window.partitionBy("key"))
+    alive = rows.withColumn("deleted", deleted).where(F.col("deleted").isNull() | (revision_ > F.col("deleted")))
+    value = ["value"] if "value" in log.columns else []
+    # the same partitioning serves the aggregate: no second exchange
+    best = alive.groupBy("key").agg(F.min(revision_).alias("first"), F.max(F.struct(*REVISION, *value)).alias("last"), F.count("*").alias("version"))
+    return best.select("key", F.col("first.main").alias("create_main"), F.col("first.sub").alias("create_sub"), F.col("last.main").alias("mod_main"), F.col("last.sub").alias("mod_sub"), "version", *(f"last.{v}" for v in value))
 
 
 def latest(log: DataFrame, revision: int | None = None) -> DataFrame:
@@ -56,6 +60,16 @@ def with_previous(log: DataFrame) -> DataFrame:
     return rows.select(*log.columns, F.col("p.main").alias("prev_main"), F.col("p.sub").alias("prev_sub"), F.col("p.version").alias("prev_version"), F.col("p.value").alias("prev_value"))
 
 
+def applied(log: DataFrame, puts: DataFrame) -> DataFrame:
+    """Rows to be put (key, main, sub, kind, value) as they are stored: with creation, version and previous version after the log's rows and each other."""
+    both = log.withColumn("new", F.lit(False)).unionByName(puts.withColumn("new", F.lit(True)))
+    touched = both.join(puts.select("key").distinct(), "key", "left_semi")
+    w = Window.partitionBy("key").orderBy(*REVISION).rowsBetween(Window.unboundedPreceding, -1)
+    put = F.when(F.col("kind") == 0, F.struct("main", "sub", "version", "value"))
+    rows = with_history(touched).withColumn("p", F.last(put, ignorenulls=True).over(w)).where("new")
+    return rows.select(*log.columns, "create_main", "create_sub", "version", F.col("p.main").alias("prev_main"), F.col("p.sub").alias("prev_sub"), F.col("p.version").alias("prev_version"), F.col("p.value").alias("prev_value"))
+
+
 def batch_as_of(log: DataFrame, probes: DataFrame) -> DataFrame:
     """Each probe (key, at) with the version visible then, or nulls: one pass over the union, no range join."""
     w = Window.partitionBy("key").orderBy("main", "probe", "sub").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.errors import InvalidRange
+from palimpsest.operators.ranges import counted
+
 
 def get(kv: DataFrame, key: str) -> DataFrame:
     return kv.where(F.col("key") == key)
@@ -24,15 +27,14 @@ def apply_batch(kv: DataFrame, staged: DataFrame) -> DataFrame:
 
 
 def delete_ranges(kv: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The table without keys in any [start, end); an empty end is unbounded.
+    """The table without keys in any [start, end); an empty end is unbounded; an end before its start is an error.
 
-    Ranges are a batch's staged ops.  Overlapping ones are first united on their own, so
-    a key meets at most one of them.
+    Ends of ranges are put in order with the keys: +1 at a start and -1 at an end, so a key goes
+    where the sum before it is positive.
     """
-    from pyspark.sql import Window
-
-    w = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # the batch's ranges, not the table
-    top = F.when(F.length("end") == 0, F.lit("\U0010ffff\U0010ffff")).otherwise(F.col("end"))
-    marked = ranges.withColumn("top", top).withColumn("opens", F.coalesce((F.col("start") > F.max("top").over(w)).cast("int"), F.lit(1)))
-    united = marked.withColumn("run", F.sum("opens").over(Window.orderBy("start"))).groupBy("run").agg(F.min("start").alias("start"), F.max("top").alias("top"))
-    return kv.join(united, (F.col("key") >= F.col("start")) & (F.col("key") < F.col("top")), "left_anti")
+    if not ranges.where("end <> '' and end < start").isEmpty():
+        raise InvalidRange("a range ends before it starts")
+    steps = ranges.select(F.col("start").alias("key"), F.lit(1).alias("step")).union(ranges.where("end <> ''").select("end", F.lit(-1)))
+    steps = steps.groupBy("key").agg(F.sum("step").cast("long").alias("step")).select("key", F.lit(0).alias("held"), "step")
+    placed = counted(steps.union(kv.select("key", F.lit(1), F.lit(0).cast("long")).distinct()), ["key", "held"], "step")
+    return kv.join(placed.where("held = 1 and place = 0").select("key"), "key", "left_semi")

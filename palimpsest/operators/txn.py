@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.history import visible_at
+from palimpsest.operators.ranges import counted, matched
 
 
 def evaluate(log: DataFrame, probes: DataFrame, revision: int | None = None) -> DataFrame:
     """Every probe with `passed`; absent keys count as 0 or as the empty value; nothing is short-circuited."""
-    live = visible_at(log, revision).select("key", F.col("version").alias("v"), F.col("create_main").alias("c"), F.col("mod_main").alias("m"), F.col("value").alias("s"))
+    return compared(visible_at(log, revision).select("key", F.col("version").alias("v"), F.col("create_main").alias("c"), F.col("mod_main").alias("m"), F.col("value").alias("s")), probes)
+
+
+def compared(live: DataFrame, probes: DataFrame) -> DataFrame:
+    """Probes with `passed`, against live keys: key, v (version), c (creation), m (modification), s (value)."""
     joined = probes.join(live, "key", "left")
     number = F.coalesce(F.when(F.col("target_kind") == "version", F.col("v")).when(F.col("target_kind") == "create", F.col("c")).otherwise(F.col("m")), F.lit(0))
 
@@ -41,8 +46,10 @@ def planned(log: DataFrame, ops: DataFrame, revision: int | None = None) -> Data
     puts = ops.where("op = 'put'").select("txn_id", "op_no", "key", F.lit(0).alias("kind"), "value")
     deletes = ops.where("op = 'delete_range'")
     points = deletes.where("end is null or end = ''").join(live, F.col("key") == F.col("k"))
-    ranges = deletes.where("end <> ''").join(live, (F.col("k") >= F.col("key")) & (F.col("k") < F.col("end")))
-    hit = points.unionByName(ranges).groupBy("txn_id", "k").agg(F.min("op_no").alias("op_no"))
+    asked = deletes.where("end <> ''").select(F.col("key").alias("start"), "end").distinct()
+    inside = matched(live.withColumnRenamed("k", "key"), asked).withColumnRenamed("key", "k")
+    ranges = deletes.where("end <> ''").withColumnRenamed("key", "start").join(inside, ["start", "end"])
+    hit = points.select("txn_id", "op_no", "k").unionByName(ranges.select("txn_id", "op_no", "k")).groupBy("txn_id", "k").agg(F.min("op_no").alias("op_no"))
     gone = hit.select("txn_id", "op_no", F.col("k").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("value"))
     order = Window.partitionBy("txn_id").orderBy("op_no", "key")
     return puts.unionByName(gone).withColumn("sub", (F.row_number().over(order) - 1).cast("long"))
@@ -54,5 +61,5 @@ def delete_range(log: DataFrame, start: str, end: str | None, main: int, revisio
 
     live = visible_at(log.drop("value").where(in_range("key", start, end)), revision)
     # the matches of one call share one main, so their subs are numbered together
-    numbered = live.select("key", F.lit(main).cast("long").alias("main"), (F.row_number().over(Window.orderBy("key")) - 1).cast("long").alias("sub"))
+    numbered = counted(live.select("key"), ["key"]).select("key", F.lit(main).cast("long").alias("main"), F.col("place").alias("sub"))
     return numbered.select("key", "main", "sub", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("value"))

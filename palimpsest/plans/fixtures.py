@@ -64,7 +64,7 @@ def compares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a compare per order; its customer, modulo 200, names the user's key; status and key pick target and operator."""
     o = read(spark, sf_dir, "orders")
     kind = F.element_at(F.array(*map(F.lit, ("version", "create", "mod", "value"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    op = F.when(F.col("o_orderstatus") == "F", "=").when(F.col("o_orderstatus") == "O", ">").otherwise("<")
+    op = F.when(F.col("o_orderkey") % 5 == 0, "!=").when(F.col("o_orderstatus") == "F", "=").when(F.col("o_orderstatus") == "O", ">").otherwise("<")
     return o.select(
         F.floor(F.col("o_orderkey") / 3).alias("txn_id"), (F.col("o_orderkey") % 3).cast("int").alias("cmp_no"), user_key(F.col("o_custkey") % 200).alias("key"), kind.alias("target_kind"),
         op.alias("op"), (F.col("o_orderkey") % 50).alias("target_i64"), F.lit("click:").alias("target_value"),
@@ -73,19 +73,19 @@ def compares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COMPARES = """probes AS (SELECT CAST(floor(o_orderkey / 3.0) AS BIGINT) AS txn_id, CAST(o_orderkey % 3 AS INT) AS cmp_no, 'user/' || lpad(CAST(o_custkey % 200 AS VARCHAR), 8, '0') AS key,
     CASE o_orderkey % 4 WHEN 0 THEN 'version' WHEN 1 THEN 'create' WHEN 2 THEN 'mod' ELSE 'value' END AS target_kind,
-    CASE o_orderstatus WHEN 'F' THEN '=' WHEN 'O' THEN '>' ELSE '<' END AS op, o_orderkey % 50 AS target_i64, 'click:' AS target_value FROM orders)"""
+    CASE WHEN o_orderkey % 5 = 0 THEN '!=' WHEN o_orderstatus = 'F' THEN '=' WHEN o_orderstatus = 'O' THEN '>' ELSE '<' END AS op, o_orderkey % 50 AS target_i64, 'click:' AS target_value FROM orders)"""
 
 
 def txn_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """two ops per order: a put of a new key, and a delete of ten users' keys."""
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    o = read(spark, sf_dir, "orders")
     txn, base = F.col("o_orderkey").alias("txn_id"), F.col("o_custkey") % 200
     put = o.select(txn, F.lit(0).alias("op_no"), F.lit("put").alias("op"), F.concat(F.lit("new/"), F.col("o_orderkey").cast("string")).alias("key"), F.lit("").alias("end"), F.col("o_orderpriority").alias("value"))
     delete = o.select(txn, F.lit(1).alias("op_no"), F.lit("delete_range").alias("op"), user_key(base).alias("key"), user_key(base + 10).alias("end"), F.lit(None).cast("string").alias("value"))
     return put.unionByName(delete)
 
 
-TXN_OPS = """o AS (SELECT * FROM orders WHERE o_orderkey % 20 = 0),
+TXN_OPS = """o AS (SELECT * FROM orders),
 ops AS (SELECT o_orderkey AS txn_id, 0 AS op_no, 'put' AS op, 'new/' || CAST(o_orderkey AS VARCHAR) AS key, '' AS "end", o_orderpriority AS value FROM o
     UNION ALL SELECT o_orderkey, 1, 'delete_range', 'user/' || lpad(CAST(o_custkey % 200 AS VARCHAR), 8, '0'), 'user/' || lpad(CAST(o_custkey % 200 + 10 AS VARCHAR), 8, '0'), NULL FROM o)"""
 
@@ -112,6 +112,10 @@ RAFT_ENTRIES = """entries AS (SELECT event_id + 1 AS "index", CAST(floor(event_i
 
 
 def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """paired samples per ship flag: ours and theirs."""
-    l = read(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")  # noqa: E741
-    return l.select(F.col("l_returnflag").alias("metric"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) + 1).alias("ours"), (F.col("l_extendedprice") + 1).alias("theirs"), (F.col("l_returnflag") == "R").alias("lower_is_better"))
+    """paired runs per ship flag, a run per month: the mean price with and without discount."""
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    runs = l.groupBy(F.col("l_returnflag").alias("metric"), month.alias("run_index")).agg(
+        F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount")) + 1).alias("ours"), F.avg(F.col("l_extendedprice") + 1).alias("theirs")
+    )
+    return runs.select("metric", "ours", "theirs", (F.col("metric") == "R").alias("lower_is_better"))

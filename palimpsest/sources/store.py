@@ -6,8 +6,11 @@ one manifest and keep it, so compaction never disturbs them.  Rows carry their c
 version and previous version, computed once when written: reads need no window, only the
 newest row of each key, and watching needs no state.
 
-Manifests and exclusive creation go through Hadoop's FileSystem, so a path may be in any
-store that Spark reaches.
+Manifests go through Hadoop's FileSystem.  A writer first claims a number by creating a file
+exclusively, and then puts the manifest in its place by a rename, so no reader sees part of one.
+This holds where creation without overwriting and renames are atomic: local file systems and
+HDFS, not plain object stores.  A writer that dies between the two leaves its claim, which
+`release` takes back.
 """
 
 from __future__ import annotations
@@ -30,14 +33,6 @@ RAW = "key string, value string"
 ATTEMPTS = 16
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share."""
-    import tempfile
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{top.rstrip('/')}/palimpsest-{name}-{uuid.uuid4().hex}"
-
-
 @dataclass(frozen=True)
 class Manifest:
     number: int = 0
@@ -46,6 +41,7 @@ class Manifest:
     buckets: dict[str, int] = field(default_factory=dict)
     commits: list[str] = field(default_factory=list)
     raw: dict[str, str] = field(default_factory=dict)
+    added: str | None = None  # the commit that this manifest publishes
 
 
 class Files:
@@ -80,6 +76,13 @@ class Files:
         stream.close()
         return True
 
+    def rename(self, path: str, to: str) -> None:
+        if not self.fs.rename(self.path_of(path), self.path_of(to)):
+            raise OSError(f"{path} can't be renamed to {to}")
+
+    def delete(self, path: str) -> None:
+        self.fs.delete(self.path_of(path), False)
+
     def size(self, path: str) -> int:
         at = self.path_of(path)
         return self.fs.getContentSummary(at).getLength() if self.fs.exists(at) else 0
@@ -105,7 +108,18 @@ class Store:
         return Manifest(**json.loads(self.files.text(f"{self.path}/manifests/{newest}")))
 
     def _publish(self, manifest: Manifest) -> bool:
-        return self.files.create(f"{self.path}/manifests/{manifest.number:012d}.json", json.dumps(asdict(manifest)))
+        """False if another writer has the number."""
+        name = f"{manifest.number:012d}"
+        if not self.files.create(f"{self.path}/claims/{name}", ""):
+            return False
+        hidden = f"{self.path}/manifests/.{name}-{uuid.uuid4().hex}"
+        self.files.create(hidden, json.dumps(asdict(manifest)))
+        self.files.rename(hidden, f"{self.path}/manifests/{name}.json")
+        return True
+
+    def release(self) -> None:
+        """Take back the claim of a writer that died before it published."""
+        self.files.delete(f"{self.path}/claims/{self.manifest().number + 1:012d}")
 
     def _commit(self, plan: Callable[[Manifest], Manifest | None]) -> Manifest:
         """Plan on the newest manifest and publish; plan again if another writer was first."""
@@ -113,7 +127,7 @@ class Store:
             raise errors.ReadOnly(self.path)
         for _ in range(ATTEMPTS):
             now = self.manifest()
-            new = plan(now)
+            new = plan(replace(now, added=None))
             if new is None:
                 return now
             if self._publish(replace(new, number=now.number + 1)):
@@ -228,7 +242,7 @@ class Store:
             self._rows(m, make(m), main).write.parquet(path)
             if self.spark.read.schema(ROW).parquet(path).isEmpty():
                 return None
-            return replace(m, head=main, commits=[*m.commits, path])
+            return replace(m, head=main, commits=[*m.commits, path], added=path)
 
         return self._commit(plan).head
 
@@ -251,8 +265,8 @@ class Store:
         def make(m: Manifest) -> DataFrame:
             log = self._live(m)
             probes = self.spark.createDataFrame([(0, i, *c) for i, c in enumerate(compares)], "txn_id long, cmp_no int, key string, target_kind string, op string, target_i64 long, target_value string")
-            live = log.where("kind = 0").select("key", F.col("create_main").alias("cm"), F.col("main").alias("mm"), F.col("version").alias("vv"), F.col("value").alias("value"))
-            passed = all(r.passed for r in _against(live, probes).collect())  # as many rows as compares
+            live = log.where("kind = 0").select("key", F.col("create_main").alias("c"), F.col("main").alias("m"), F.col("version").alias("v"), F.col("value").alias("s"))
+            passed = all(r.passed for r in txn.compared(live, probes).collect())  # as many rows as compares
             outcome[:] = [passed]
             ops = self.spark.createDataFrame([(0, i, *o) for i, o in enumerate(success if passed else failure) if o[0] != "range"], "txn_id long, op_no int, op string, key string, end string, value string")
             return txn.planned(log.select("key", "main", "sub", "kind", "value"), ops).select("key", "sub", "kind", "value")
@@ -296,9 +310,3 @@ class Store:
         rows = self.log(m).where(F.col("main").between(low, high))
         return rows.withColumn("value", F.when(F.col("kind") == 1, "").otherwise(F.col("value"))).orderBy("main", "sub")
 
-
-def _against(live: DataFrame, probes: DataFrame) -> DataFrame:
-    joined = probes.join(live, "key", "left")
-    number = F.coalesce(F.when(F.col("target_kind") == "version", F.col("vv")).when(F.col("target_kind") == "create", F.col("cm")).otherwise(F.col("mm")), F.lit(0))
-    left = lambda a, b: F.when(F.col("op") == "=", a == b).when(F.col("op") == "!=", a != b).when(F.col("op") == ">", a > b).otherwise(a < b)
-    return joined.select(F.when(F.col("target_kind") == "value", left(F.coalesce("value", F.lit("")), F.coalesce("target_value", F.lit("")))).otherwise(left(number, F.col("target_i64"))).alias("passed"))

@@ -48,3 +48,43 @@ def test_raft(spark):
     kept, cursor = raftlog.install_snapshot(e, 3, 4)
     assert cursor == 4 and tuple(raftlog.bounds(kept, cursor).first()) == (5, 9)
     assert tuple(raftlog.bounds(e.limit(0)).first()) == (0, 0) and tuple(raftlog.bounds(e.limit(0), 7).first()) == (8, 7)
+
+
+def test_raft_append_and_state(spark):
+    import pytest
+
+    from palimpsest import errors
+    from palimpsest.operators import raftlog
+
+    rows = lambda *n: spark.createDataFrame([(i, t, "Normal", f"{i}.{t}") for i, t in n], "index long, term long, entry_type string, data string")
+    log = raftlog.append(rows(*[]), rows((1, 1), (2, 1), (3, 1)))
+    log = raftlog.append(log, rows((3, 2), (4, 2)))
+    assert sorted(r.data for r in log.collect()) == ["1.1", "2.1", "3.2", "4.2"]
+    for bad in (rows((6, 2)), rows((5, 2), (7, 2)), rows((5, 2), (5, 2))):
+        with pytest.raises(errors.InvalidRange):
+            raftlog.append(log, bad)
+    with pytest.raises(errors.InvalidRange):
+        raftlog.append(log, rows((2, 3)), last_index=2)
+    assert [r["index"] for r in raftlog.entries_between(log, 2, 5).collect()] == [2, 3, 4]
+    for low, high in ((0, 2), (2, 6), (3, 2)):
+        with pytest.raises(errors.InvalidRange):
+            raftlog.entries_between(log, low, high)
+    assert raftlog.entries_between(log, 9, 9).count() == 0
+    states = "seq long, term long, vote long, commit long"
+    assert tuple(raftlog.hard_state(spark.createDataFrame([(1, 1, 2, 0), (3, 2, 1, 4), (2, 2, 1, 3)], states)).first()) == (2, 1, 4)
+    assert tuple(raftlog.hard_state(spark.createDataFrame([], states)).first()) == (0, 0, 0)
+
+
+def test_ranges_against_keys(spark):
+    from palimpsest.operators import kv, ranges
+
+    keys = [f"k{i:03d}" for i in range(0, 200, 3)]
+    asked = [("k010", "k020"), ("k010", "k010"), ("k015", None), ("a", "b"), ("k003", "k004"), ("k1", "k2"), ("k050", "k040")]
+    held = spark.createDataFrame([(k,) for k in keys], "key string").repartition(5)
+    got = {(r.start, r.end, r.key) for r in ranges.matched(held, spark.createDataFrame(asked, "start string, end string")).collect()}
+    assert got == {(a, b, k) for a, b in asked for k in keys if a <= k and (b is None or k < b)}
+    placed = {r.key: r.place for r in ranges.counted(held, ["key"]).collect()}
+    assert placed == {k: i for i, k in enumerate(keys)}
+    table = held.withColumn("value", F.lit("v"))
+    left = kv.delete_ranges(table, spark.createDataFrame([("k010", "k020"), ("k015", "k03"), ("k190", "")], "start string, end string"))
+    assert {r.key for r in left.collect()} == {k for k in keys if not ("k010" <= k < "k03" or k >= "k190")}

@@ -110,12 +110,59 @@ def test_lost_race_plans_again(store):
     assert store.put("a", "3") == 3 and [k for k, *_ in _at(store, None)] == ["a", "b"]
 
 
-def test_stream_delivers_what_batch_does(spark, store, tmp_path):
-    _example(store)
-    run = watch.stream(spark, f"{store.path}/log").writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    got = {(r.key, r.main, r.sub, r.prev_main) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
-    assert got == {(r.key, r.main, r.sub, r.prev_main) for r in store.events(1).collect()}
+def _rows(df):
+    return [(r.key, r.main, r.sub, r.kind, r.value, r.prev_main, r.prev_version) for r in df.collect()]
+
+
+def test_stream_delivers_published_commits_once(spark, store, tmp_path):
+    """Across a lost race, defragmentation and compaction, in order, and from where it stopped."""
+    raced, publish = [], store._publish
+
+    def late(manifest: Manifest) -> bool:
+        if not raced:
+            raced.append(1)
+            Store(spark, store.path).put("b", "2")
+        return publish(manifest)
+
+    got = []
+
+    def run(name="c", **more):
+        query = watch.follow(store, lambda events, _: got.extend(_rows(events)), str(tmp_path / name), availableNow=True, **more)
+        query.awaitTermination()
+        assert query.exception() is None
+
+    store._publish = late
+    assert store.put("a", "1") == 2
+    store._publish = publish
+    want = _rows(store.events(1))
+    run(start_rev=1)
+    assert got == want and [r[1] for r in got] == [1, 2]
+    store.put("a", "3")
+    store.defragment()
+    run(start_rev=1)
+    assert got == _rows(store.events(1)) and len(got) == 3
+    store.compact(2)
+    store.delete_range("a", "c")
+    run(start_rev=3)
+    assert got[:2] == want and got[2:] == _rows(store.events(3)) and len(got) == 5
+    got.clear()
+    run("other", start_rev=4, start="a", end="b")
+    assert [(r[0], r[1]) for r in got] == [("a", 4)]
+    for more, error in (({"start_rev": 2}, errors.Compacted), ({"start_rev": -1}, errors.FutureRevision), ({"start": "b", "end": "a"}, errors.InvalidRange)):
+        with pytest.raises(error):
+            run("never", **more)
+
+
+def test_claims(spark, store):
+    """A number is claimed once, no reader sees a manifest without its text, and a dead writer's claim can be taken back."""
+    store.put("a", "1")
+    number = store.manifest().number + 1
+    assert store.files.create(f"{store.path}/claims/{number:012d}", "")
+    assert store.manifest().number == number - 1
+    with pytest.raises(errors.CommitConflict):
+        store.register_bucket("one", 1)
+    store.release()
+    assert store.put("a", "2") == 2
 
 
 def test_put_all(spark, store):
