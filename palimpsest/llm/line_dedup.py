@@ -4,12 +4,14 @@
   a suffix of its document's line sequence.
 * `suffix_array`: prefix doubling.  A suffix's rank by its first h lines is the first place of
   its group in the order of all suffixes; a round splits the groups by the ranks h lines on, and
-  puts the parts in order by counting.  A suffix leaves when its rank is its own or when it ends
+  puts the parts in order by counting.  From h = 2 on a round doubles twice, by the ranks h, 2 h
+  and 3 h lines on.  A suffix leaves when its rank is its own or when it ends
   inside its group; rounds go on until all have left.  Documents without open suffixes drop out,
   so a round works on what is still repeated.
 * `common_prefixes`: the longest common prefix of each group of equal suffixes with the group
-  before it, by descending through the rounds' ranks: 2^k lines more are common if the ranks by
-  2^k lines are equal there.
+  before it, by descending through the rounds' ranks: h lines more are common if the ranks by
+  h lines are equal there.  Deletion asks only whether it reaches `min_lines`, and so descends
+  from there.
 * `intervals`: stretches of the array in which neighbours have at least so many lines in common,
   as running counts.  All suffixes of an interval start with the same lines.  Every member but
   the first (by doc_id and place) is a later copy; chained members are one maximal repeated run,
@@ -54,14 +56,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def line_ids(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = None) -> DataFrame:
     """(document key, pos, left, least, line, line2): one row per line of each distinct document: lines from here on, how many of them count as a run, and the line's hashes."""
-    lines, least = F.split("row.text", "\n"), F.lit(min_lines)
+    lines = F.split("row.text", "\n")
     keyed = _keyed(docs.select("doc_id", "text")).where("row.text is not null")
-    if min_chars is not None:
-        keyed = keyed.withColumn("sizes", F.transform(lines, lambda x: F.char_length(F.translate(x, " \t\n\x0b\x0c\r", ""))))
-        total = lambda i, n: F.aggregate(F.slice("sizes", i + 1, F.lit(n)), F.lit(0).cast("long"), lambda x, y: x + y)
-    counts = lambda i: F.coalesce(*(F.when(total(i, n) >= min_chars, n) for n in range(1, min_lines)), least) if min_chars is not None else least
-    ids = F.transform(lines, lambda x, i: F.struct((F.size(lines) - i).alias("left"), counts(i).alias("least"), F.xxhash64(x).alias("line"), F.xxhash64(x, F.lit(7)).alias("line2")))
-    return keyed.select(*_KEY, ids.alias("ids")).dropDuplicates(_KEY).select(*_KEY, F.posexplode("ids").alias("pos", "of")).select(*_KEY, "pos", "of.*")
+    size = F.lit(0) if min_chars is None else lambda x: F.char_length(F.translate(x, " \t\n\x0b\x0c\r", ""))
+    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(x, F.lit(7)).alias("line2"), (size if min_chars is None else size(x)).alias("size")))
+    each = keyed.select(*_KEY, ids.alias("ids")).dropDuplicates(_KEY).select(*_KEY, F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "of"))
+    each = each.select(*_KEY, "pos", (F.col("n") - F.col("pos")).alias("left"), "of.*")
+    order = Window.partitionBy(*_KEY).orderBy("pos")  # as the documents were made distinct: no exchange
+    from_here = (F.when(F.sum("size").over(order.rowsBetween(0, n - 1)) >= min_chars, n) for n in range(1, min_lines)) if min_chars is not None else ()
+    return each.withColumn("least", F.coalesce(*from_here, F.lit(min_lines))).drop("size")
 
 
 def _in_order(df: DataFrame, by: list[str], **sums: str) -> tuple[DataFrame, list]:
@@ -102,13 +105,13 @@ def suffix_array(lines: DataFrame) -> tuple[DataFrame, list[tuple[int, DataFrame
         levels.append((h, rows.where(f"n > 1 and left >= {h}").select(*_KEY, "pos", "rank")))
         if not groups:
             break
-        document = Window.partitionBy(*_KEY)
-        busy = rows.withColumns({"busy": F.max("open").over(document), "next": F.first("rank").over(document.orderBy("pos").rangeBetween(h, h))})
-        busy = materialise(busy.where("busy").drop("busy"))
-        split = busy.where("open").withColumn("next", F.coalesce("next", F.lit(-1)))
-        places, groups = _places(split, ["rank", "next"], "n > 1 and next >= 0")
-        h *= 2
-        moved = split.drop("n").join(places, ["rank", "next"]).withColumns({"rank": F.col("place"), "open": F.expr("n > 1 and next >= 0"), "since": F.lit(h)})
+        document, times = Window.partitionBy(*_KEY), 2 if h == 1 else 4
+        onward = {f"next{k}": F.first("rank").over(document.orderBy("pos").rangeBetween(k * h, k * h)) for k in range(1, times)}
+        busy = materialise(rows.withColumns({"busy": F.max("open").over(document), **onward}).where("busy").drop("busy"))
+        split, by, goes_on = busy.where("open").fillna(-1, [*onward]), ["rank", *onward], f"n > 1 and next{times - 1} >= 0"
+        places, groups = _places(split, by, goes_on)
+        h *= times
+        moved = split.drop("n").join(places, by).withColumns({"rank": F.col("place"), "open": F.expr(goes_on), "since": F.lit(h)})
         rows = materialise(busy.where("not open").select(columns).union(moved.select(columns)))
         left.append(rows.where(f"not open and since = {h}").select(*_SUFFIX, "rank", "n"))
     array = left[0] if left else rows.where("false").select(*_SUFFIX, "rank", "n")
@@ -117,18 +120,20 @@ def suffix_array(lines: DataFrame) -> tuple[DataFrame, list[tuple[int, DataFrame
     return array, levels
 
 
-def common_prefixes(array: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
-    """(rank, n, lcp): each group of equal suffixes, and how many lines it has in common with the group before it in the array."""
+def common_prefixes(array: DataFrame, levels: list[tuple[int, DataFrame]], most: int | None = None) -> DataFrame:
+    """(rank, n, lcp): each group of equal suffixes, and how many lines it has in common with the group before it in the array; with `most`, counted that far at least."""
     groups = materialise(array.groupBy("rank").agg(F.first("n").alias("n"), F.min(F.struct(*_KEY, "pos")).alias("at")))
     before = groups.select((F.col("rank") + F.col("n")).alias("rank"), F.col("at").alias("other"))
     pairs = groups.join(before, "rank").select("rank", *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("at", "other") for c in (*_KEY, "pos")), F.lit(0).alias("lcp"))
-    for h, level in reversed(levels):
-        for x in ("at", "other"):
-            here = level.select(*(F.col(c).alias(f"{x}_{c}") for c in _KEY), F.col("pos").alias(f"{x}_place"), F.col("rank").alias(f"{x}_rank"))
-            pairs = pairs.withColumn(f"{x}_place", F.col(f"{x}_pos") + F.col("lcp")).join(here, [*(f"{x}_{c}" for c in _KEY), f"{x}_place"], "left").drop(f"{x}_place")
-        more = F.when(F.col("at_rank") == F.col("other_rank"), h).otherwise(0)
-        pairs = pairs.withColumn("lcp", F.col("lcp") + more).drop("at_rank", "other_rank")
-        pairs = materialise(pairs) if h in (1, 16, 256) or h % 4096 == 0 else pairs  # four rounds a job
+    above = [h for h, _ in levels[1:]] + [2 * levels[-1][0]]
+    for (h, level), next_h in reversed(list(zip(levels, above))):
+        for _ in range(min(next_h // h - 1, most // h if most else next_h)):
+            for x in ("at", "other"):
+                here = level.select(*(F.col(c).alias(f"{x}_{c}") for c in _KEY), F.col("pos").alias(f"{x}_place"), F.col("rank").alias(f"{x}_rank"))
+                pairs = pairs.withColumn(f"{x}_place", F.col(f"{x}_pos") + F.col("lcp")).join(here, [*(f"{x}_{c}" for c in _KEY), f"{x}_place"], "left").drop(f"{x}_place")
+            more = F.when(F.col("at_rank") == F.col("other_rank"), h).otherwise(0)
+            pairs = pairs.withColumn("lcp", F.col("lcp") + more).drop("at_rank", "other_rank")
+        pairs = pairs if most else materialise(pairs)
     return groups.select("rank", "n").join(pairs.select("rank", "lcp"), "rank", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
 
 
@@ -148,7 +153,7 @@ def intervals(prefixes: DataFrame, most: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = None) -> DataFrame:
     """(document key, dd_runs): maximal runs [first, end) of lines that are later copies."""
     array, levels = suffix_array(line_ids(docs, min_lines, min_chars))
-    found = array.withColumn("m", F.explode(F.sequence("least", F.lit(min_lines)))).where("left >= m").join(intervals(common_prefixes(array, levels), min_lines), "rank")
+    found = array.withColumn("m", F.explode(F.sequence("least", F.lit(min_lines)))).where("left >= m").join(intervals(common_prefixes(array, levels, min_lines), min_lines), "rank")
     own = F.element_at(F.array(*(f"interval_{m}" for m in range(1, min_lines + 1))), F.col("m"))
     found = materialise(found.select(*_KEY, "pos", "m", own.alias("interval")))
     first = materialise(found.groupBy("m", "interval").agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
