@@ -29,7 +29,7 @@ line that a third of all documents share is no hot task.
 Defined results: null text has no lines and stays null; empty text is one empty line; the
 documents' order is doc_id, nulls first, then the text's hash; identical rows count once
 and get the same result; a document of any number of lines is one sequence; other columns are
-kept as they are, those named n_lines, n_removed or n_runs included: ours are in `dd`.
+kept as they are, whatever their names, in `row`.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int |
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = None) -> DataFrame:
-    """Every row with `text` without its later copies, and a struct `dd` of n_lines, n_removed, n_runs at the end."""
+    """Every row as a struct `row`, its text without later copies, and n_lines, n_removed, n_runs."""
     runs = repeated_runs(docs, min_lines, min_chars)
     lines = F.split("row.text", "\n")
     outside = lambda x, i: ~F.exists("dd_runs", lambda r: (r["first"] <= i) & (i < r["end"]))
@@ -175,18 +175,16 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | N
     out = _keyed(docs).join(runs.hint("shuffle_hash"), _KEY, "left").select("row", kept.alias("kept"), F.size(lines).alias("lines"), F.col("dd_runs").alias("runs"))
     some = lambda n, known: F.when(known.isNull(), 0).otherwise(n).cast("long")
     return out.select(
-        *(F.col(f"row.`{c}`") if c != "text" else F.array_join("kept", "\n").alias("text") for c in docs.columns),
-        F.struct(
-            some(F.col("lines"), F.col("row.text")).alias("n_lines"),
-            some(F.col("lines") - F.size("kept"), F.col("row.text")).alias("n_removed"),
-            some(F.size("runs"), F.col("runs")).alias("n_runs"),
-        ).alias("dd"),
+        F.col("row").withField("text", F.array_join("kept", "\n")).alias("row"),
+        some(F.col("lines"), F.col("row.text")).alias("n_lines"),
+        some(F.col("lines") - F.size("kept"), F.col("row.text")).alias("n_removed"),
+        some(F.size("runs"), F.col("runs")).alias("n_runs"),
     )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=MIN_CHARS)
-    return out.select("doc_id", "dd.n_lines", "dd.n_removed", "dd.n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
 
 
 #: The same rows by windows: from each line on, its first lines that count as a run (one or two with 25 characters, or three) up to three; a window that also starts earlier goes.
