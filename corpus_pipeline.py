@@ -32,9 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.deduplicated(docs, min_chars=line_dedup.MIN_CHARS)
-    left = out.where("dd.n_lines = 0 or dd.n_removed < dd.n_lines")
-    n_chars = F.when(F.col("dd.n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    left = out.where("n_lines = 0 or n_removed < n_lines")
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("row.text")).otherwise(F.col("row.n_chars"))
+    return left.select(F.col("row").withField("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).alias("row")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
