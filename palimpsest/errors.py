@@ -31,6 +31,10 @@ class InvalidRange(PalimpsestError):
     """The end is before the start, or bounds outside what there is."""
 
 
+class UnknownMetric(PalimpsestError):
+    """The gate doesn't grade this metric."""
+
+
 class EmptyKey(PalimpsestError):
     """Keys have at least one byte."""
 

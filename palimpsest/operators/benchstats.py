@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.errors import UnknownMetric
+
 # Verdict bounds and the latency histogram's limits in microseconds: fixed values.
 WIN, LOSS = 1.05, 0.95
 SHORTEST, LONGEST = 1, 60_000_000
@@ -38,8 +40,17 @@ def verdict(low: Column, high: Column) -> Column:
     return F.when(low >= WIN, "Win").when(high <= LOSS, "Loss").otherwise("Tie")
 
 
-def gate(metrics: DataFrame) -> DataFrame:
-    """wins, losses, ties, incomplete, passed over (metric, verdict): a null verdict is incomplete."""
+def gate(metrics: DataFrame, known: list[str] | None = None) -> DataFrame:
+    """wins, losses, ties, incomplete, passed over (metric, verdict): a null verdict is incomplete.
+
+    With a column `fairness`, asymmetric metrics are left out and counted as skipped; with `known`,
+    any other metric is an error.
+    """
+    if known is not None and not metrics.where(~F.col("metric").isin(known)).isEmpty():
+        raise UnknownMetric("a metric is none of those to be graded")
+    if "fairness" in metrics.columns:
+        uneven = F.coalesce(F.col("fairness") == "asymmetric", F.lit(False))
+        return gate(metrics.where(~uneven).drop("fairness")).crossJoin(metrics.agg(F.count_if(uneven).alias("skipped")))  # one row by one row
     n = lambda v: F.count_if(F.col("verdict") == v)
     counts = metrics.agg(n("Win").alias("wins"), n("Loss").alias("losses"), n("Tie").alias("ties"), F.count_if(F.col("verdict").isNull()).alias("incomplete"))
     return counts.withColumn("passed", (F.col("wins") >= 1) & (F.col("losses") == 0) & (F.col("incomplete") == 0))

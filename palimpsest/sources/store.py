@@ -129,7 +129,7 @@ class Store:
             now = self.manifest()
             new = plan(replace(now, added=None))
             if new is None:
-                return now
+                return replace(now, added=None)
             if self._publish(replace(new, number=now.number + 1)):
                 return replace(new, number=now.number + 1)
         raise errors.CommitConflict(self.path)
@@ -213,6 +213,13 @@ class Store:
         out = rows.select("key", "create_main", "create_sub", F.col("main").alias("mod_main"), F.col("sub").alias("mod_sub"), "version", "value").orderBy("key")
         return out if limit is None else out.limit(limit)
 
+    def range_meta(self, start: str, end: str | None = None, revision: int | None = None, limit: int | None = None) -> tuple[int, bool, int]:
+        """count of all matches, more (does the limit cut rows off?), header revision (the head, whatever is read)."""
+        m = self.manifest()
+        at = read.check_read(read.Snapshot(m.head, m.floor), start, end, revision)
+        n = self._live(m, at).where(in_range("key", start, end)).where("kind = 0").count()
+        return n, limit is not None and n > limit, m.head
+
     def _rows(self, m: Manifest, writes: DataFrame, main: int) -> DataFrame:
         """Writes (key, sub, kind, value) with their previous version, creation and version."""
         last = self._live(m).join(writes.select("key").distinct(), "key", "left_semi")
@@ -234,8 +241,8 @@ class Store:
             F.col("create_main").cast("long"), F.col("create_sub").cast("long"), F.col("version").cast("long"),
         )
 
-    def _write(self, make: Callable[[Manifest], DataFrame]) -> int:
-        """Commit the writes that `make` plans; the revision they got, or the head if there were none."""
+    def _write(self, make: Callable[[Manifest], DataFrame]) -> Manifest:
+        """Commit the writes that `make` plans; the manifest that published them, or the head's if there were none."""
 
         def plan(m: Manifest) -> Manifest | None:
             main, path = m.head + 1, f"{self.path}/log/{uuid.uuid4().hex}"
@@ -244,35 +251,49 @@ class Store:
                 return None
             return replace(m, head=main, commits=[*m.commits, path], added=path)
 
-        return self._commit(plan).head
+        return self._commit(plan)
 
     def put(self, key: str, value: str) -> int:
         if not key:
             raise errors.EmptyKey("put")
-        return self._write(lambda m: self.spark.createDataFrame([(key, 0, 0, value)], "key string, sub long, kind int, value string"))
+        return self._write(lambda m: self.spark.createDataFrame([(key, 0, 0, value)], "key string, sub long, kind int, value string")).head
 
     def put_all(self, rows: DataFrame) -> int:
         """Put many (key, value) rows, distinct keys, in one commit; subs follow key order inside range partitions."""
-        return self._write(lambda m: rows.repartitionByRange("key").sortWithinPartitions("key").select("key", F.monotonically_increasing_id().alias("sub"), F.lit(0).alias("kind"), "value"))
+        return self._write(lambda m: rows.repartitionByRange("key").sortWithinPartitions("key").select("key", F.monotonically_increasing_id().alias("sub"), F.lit(0).alias("kind"), "value")).head
 
     def delete_range(self, start: str, end: str | None = None) -> int:
-        return self._write(lambda m: txn.delete_range(self.log(m), start, end, m.head + 1).select("key", "sub", "kind", "value"))
+        return self.delete_counted(start, end)[1]
+
+    def delete_counted(self, start: str, end: str | None = None) -> tuple[int, int]:
+        """How many keys went, and the revision."""
+        m = self._write(lambda m: txn.delete_range(self.log(m), start, end, m.head + 1).select("key", "sub", "kind", "value"))
+        return self.spark.read.schema(ROW).parquet(m.added).count() if m.added else 0, m.head
 
     def txn(self, compares: list[tuple], success: list[tuple], failure: list[tuple]) -> tuple[bool, int]:
         """One conditional transaction.  compares: (key, kind, op, number, value); ops: (op, key, end, value).  (Succeeded, revision)."""
-        outcome = []
+        return self.txn_responses(compares, success, failure)[:2]
+
+    def txn_responses(self, compares: list[tuple], success: list[tuple], failure: list[tuple]) -> tuple[bool, int, list]:
+        """As `txn`, with a response for each op of the branch taken: None for a put, how many keys a delete_range deleted first, and the rows of a range at the revision after the writes."""
+        outcome: list = []
 
         def make(m: Manifest) -> DataFrame:
             log = self._live(m)
             probes = self.spark.createDataFrame([(0, i, *c) for i, c in enumerate(compares)], "txn_id long, cmp_no int, key string, target_kind string, op string, target_i64 long, target_value string")
             live = log.where("kind = 0").select("key", F.col("create_main").alias("c"), F.col("main").alias("m"), F.col("version").alias("v"), F.col("value").alias("s"))
             passed = all(r.passed for r in txn.compared(live, probes).collect())  # as many rows as compares
-            outcome[:] = [passed]
-            ops = self.spark.createDataFrame([(0, i, *o) for i, o in enumerate(success if passed else failure) if o[0] != "range"], "txn_id long, op_no int, op string, key string, end string, value string")
-            return txn.planned(log.select("key", "main", "sub", "kind", "value"), ops).select("key", "sub", "kind", "value")
-
-        head = self._write(make)
-        return outcome[0], head
+            branch = success if passed else failure
+            ops = self.spark.createDataFrame([(0, i, *o) for i, o in enumerate(branch) if o[0] != "range"], "txn_id long, op_no int, op string, key string, end string, value string")
+            plan = txn.planned(log.select("key", "main", "sub", "kind", "value"), ops)
+            deleted = {r.op_no: r["count"] for r in plan.where("kind = 1").groupBy("op_no").count().collect()} if any(o[0] == "delete_range" for o in branch) else {}  # a row an op
+            outcome[:] = [passed, branch, deleted]
+            return plan.select("key", "sub", "kind", "value")
+
+        head = self._write(make).head
+        passed, branch, deleted = outcome
+        answer = lambda i, o: self.range_at(o[1], o[2], head) if o[0] == "range" else deleted.get(i, 0) if o[0] == "delete_range" else None
+        return passed, head, [answer(i, o) for i, o in enumerate(branch)]
 
     def compact(self, revision: int) -> None:
         """Keep of the rows at or below `revision` only those visible then; at or below the floor nothing happens."""

@@ -88,3 +88,17 @@ def test_ranges_against_keys(spark):
     table = held.withColumn("value", F.lit("v"))
     left = kv.delete_ranges(table, spark.createDataFrame([("k010", "k020"), ("k015", "k03"), ("k190", "")], "start string, end string"))
     assert {r.key for r in left.collect()} == {k for k in keys if not ("k010" <= k < "k03" or k >= "k190")}
+
+
+def test_gate_skips_and_refuses(spark):
+    import pytest
+
+    from palimpsest import errors
+
+    rows = spark.createDataFrame([("a", "Win", None), ("b", "Loss", "asymmetric"), ("c", None, "asymmetric")], "metric string, verdict string, fairness string")
+    got = benchstats.gate(rows, ["a", "b", "c"]).first()
+    assert (got.wins, got.losses, got.incomplete, got.skipped, got.passed) == (1, 0, 0, 2, True)
+    with pytest.raises(errors.UnknownMetric):
+        benchstats.gate(rows, ["a", "b"])
+    rate = spark.range(1).select(benchstats.throughput(F.lit(500), F.lit(250_000_000)).alias("x")).first().x
+    assert rate == 2000.0

@@ -172,3 +172,16 @@ def test_put_all(spark, store):
     assert store.manifest().head == 2 and store.range_at("k", "l").count() == 500
     store.compact(2)
     assert store.range_at("k", "l").count() == 500
+
+
+def test_results_of_writes_and_reads(store):
+    for k in "abcd":
+        store.put(k, k.upper())
+    passed, head, responses = store.txn_responses(
+        [("a", "version", "!=", 2, None)], [("range", "a", "z", None), ("delete_range", "b", "d", None), ("put", "e", None, "E"), ("delete_range", "a", "d", None)], []
+    )
+    assert (passed, head) == (True, 5) and responses[1:] == [2, None, 1]
+    assert [r.key for r in responses[0].collect()] == ["d", "e"]
+    assert store.txn_responses([("a", "version", ">", 0, None)], [], [("range", "d", None, None)])[2][0].first().value == "D"
+    assert store.range_meta("a", "z", 4, 2) == (4, True, 5) and store.range_meta("a", "z") == (2, False, 5)
+    assert store.delete_counted("d", "f") == (2, 6) and store.delete_counted("d", "f") == (0, 6)
