@@ -131,11 +131,6 @@ def lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values))
 
 
-def utf8(texts: pd.Series) -> list[bytes]:
-    """UTF-8 bytes of each text, nulls as empty."""
-    return [x.encode("utf-8", "replace") if isinstance(x, str) else b"" for x in texts]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
     x = x.astype(np.uint64, copy=True)
