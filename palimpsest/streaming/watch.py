@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from palimpsest.operators.ranges import matched
 
 #: Events a watcher's buffer holds; one slot more is kept for the closing message.
 BUFFER = 1024
+#: What the names of watchers' queries begin with.
+WATCHER = "palimpsest-watch-"
 
 EVENT = "key string, main long, sub long, kind int, value string, prev_main long, prev_sub long, prev_version long, prev_value string"
 
@@ -85,7 +88,23 @@ def follow(store, handle: Callable[[DataFrame, int], None], checkpoint: str, sta
             rows = rows if start is None else rows.where(in_range("key", start, end))
             handle(rows.withColumn("value", F.when(F.col("kind") == 1, "").otherwise(F.col("value"))).orderBy("main", "sub"), number)
 
-    return manifests.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+    writer = manifests.writeStream.queryName(f"{WATCHER}{uuid.uuid4().hex}").foreachBatch(deliver).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def watchers(spark: SparkSession) -> int:
+    """How many watchers follow a store in this application; a stopped one is gone."""
+    return sum((q.name or "").startswith(WATCHER) for q in spark.streams.active)
+
+
+def end_reason(query: StreamingQuery, store) -> str | None:
+    """Why a watcher ended, or None while it runs: Cancelled (stopped, or all that was asked for is delivered), StoreDropped, or Internal with the cause."""
+    if query.isActive:
+        return None
+    if not store.files.names(f"{store.path}/manifests"):
+        return "StoreDropped"
+    cause = query.exception()
+    return f"Internal: {cause}" if cause else "Cancelled"
 
 
 def stream(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, start_rev: int = 0) -> DataFrame:

@@ -153,6 +153,28 @@ def test_stream_delivers_published_commits_once(spark, store, tmp_path):
             run("never", **more)
 
 
+def test_watchers_hand_over_and_end(spark, store, tmp_path):
+    """Catch-up, then live events of the same watcher without a gap or a repeat; counts and reasons."""
+    store.put("a", "1")
+    got = []
+    query = watch.follow(store, lambda events, _: got.extend(_rows(events)), str(tmp_path / "c"), start_rev=1, processingTime="0 seconds")
+    query.processAllAvailable()
+    assert [r[1] for r in got] == [1] and watch.watchers(spark) == 1 and watch.end_reason(query, store) is None
+    store.put("b", "2")
+    store.delete_range("a", "c")
+    query.processAllAvailable()
+    query.stop()
+    assert got == _rows(store.events(1)) and watch.watchers(spark) == 0 and watch.end_reason(query, store) == "Cancelled"
+
+    def broken(events, _):
+        raise ValueError("no such sink")
+
+    failed = watch.follow(store, broken, str(tmp_path / "d"), start_rev=1, availableNow=True)
+    with pytest.raises(Exception, match="no such sink"):
+        failed.awaitTermination()
+    assert watch.end_reason(failed, store).startswith("Internal: ")
+
+
 def test_claims(spark, store):
     """A number is claimed once, no reader sees a manifest without its text, and a dead writer's claim can be taken back."""
     store.put("a", "1")
