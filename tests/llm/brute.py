@@ -115,6 +115,26 @@ def line_dedup(rows, least=3):
     return out
 
 
+def runs_removed(rows, min_lines, min_chars):
+    """doc_id -> kept text, from the longest earlier match of every suffix."""
+    whole = {i: t.split("\n") for i, t in rows if t is not None}
+    starts, out = defaultdict(list), {i: None for i, _ in rows}
+    for i in sorted(whole):
+        lines, gone = whole[i], set()
+        for p in range(len(lines)):
+            longest = 0
+            for e, q in starts[lines[p]]:
+                n = 0
+                while p + n < len(lines) and q + n < len(whole[e]) and lines[p + n] == whole[e][q + n]:
+                    n += 1
+                longest = max(longest, n)
+            starts[lines[p]].append((i, p))
+            if longest >= min_lines or sum(len("".join(x.split())) for x in lines[p : p + longest]) >= min_chars:
+                gone.update(range(p, p + longest))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
 def base_scores(rows):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     counts = Counter()

@@ -29,38 +29,18 @@ def test_lines_repeated_rows_count_once(spark, docs):
     assert len(twice) == 2 * len(ROWS) and {r.doc_id: r.text for r in twice} == brute.line_dedup(ROWS)
 
 
-def _runs_removed(rows, min_lines, min_chars):
-    """doc_id -> kept text, from the longest earlier match of every suffix."""
-    whole = {i: t.split("\n") for i, t in rows if t is not None}
-    starts, out = [], {i: None for i, _ in rows}
-    for i in sorted(whole):
-        lines, gone = whole[i], set()
-        for p in range(len(lines)):
-            longest = 0
-            for e, q in starts:
-                n = 0
-                while p + n < len(lines) and q + n < len(whole[e]) and lines[p + n] == whole[e][q + n]:
-                    n += 1
-                longest = max(longest, n)
-            starts.append((i, p))
-            if longest >= min_lines or sum(len("".join(x.split())) for x in lines[p : p + longest]) >= min_chars:
-                gone.update(range(p, p + longest))
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return out
-
-
 def test_lines_short_runs_of_many_characters(spark):
     """One or two lines go as well if they are long; tiny and blank lines alone stay, but go inside a run."""
     long, ten = "a line that is long enough to count", "0123456789"
     rows = [(1, f"{long}\n\nx"), (2, f"y\n{long}"), (3, long), (4, f"x\n\n{ten}{ten}\n{ten}"), (5, f"z\n{ten}{ten}\n{ten}\nw"), (6, f"{ten}{ten}\nx\n\n"), (7, f"{long}\n\nq\n\nx"), (8, None), (9, "")]
     for least, want in ((None, {2: f"y\n{long}", 3: long}), (25, {2: "y", 3: "", 5: "z\nw", 6: f"{ten}{ten}\nx\n\n", 7: "q\n\nx"})):
         got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=least).select("row.*").collect()}
-        assert want.items() <= got.items() and got == _runs_removed(rows, 3, least or 10**9)
+        assert want.items() <= got.items() and got == brute.runs_removed(rows, 3, least or 10**9)
 
 
 def test_lines_by_characters(docs):
     got = {r.doc_id: r.text for r in line_dedup.deduplicated(docs, min_chars=25).select("row.*").collect()}
-    assert got == _runs_removed(ROWS, 3, 25) and got != brute.line_dedup(ROWS)
+    assert got == brute.runs_removed(ROWS, 3, 25) and got != brute.line_dedup(ROWS)
 
 
 def test_lines_suffix_array(spark, docs):

@@ -213,11 +213,11 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns
         after = rows(out)
         if name == "line_dedup":
-            kept = brute.line_dedup(before)
+            kept = brute.runs_removed(before, 3, 25)
             assert dict(after) == {i: t for i, t in kept.items() if t or dict(before)[i] == ""}
             assert out.where(F.col("n_chars") != F.char_length("text")).count() == docs.where(F.col("n_chars") != F.char_length("text")).count()
         if name == "minhash_dedup":
-            reach = brute.components(brute.shingle_sets(before))
+            reach = brute.components(brute.shingle_sets(before), 80)
             assert {i for i, _ in after} == {i for i, c in reach.items() if i == c}
         if name == "decontamination":
             items = [(r.item_id, r.text) for r in table(spark, DATA, "benchmark").collect()]
