@@ -46,7 +46,7 @@ WINDOW = 13
 TRIPLE = 3
 BLOCK = 64
 #: Bits of the anchor bitmap for each noted anchor, and their base-2 logarithms at least and at most (256 MB).
-BITS_EACH, LEAST_BITS, MOST_BITS, CHUNK_BITS = 32, 18, 31, 15
+BITS_EACH, LEAST_BITS, MOST_BITS, CHUNK_BITS = 256, 18, 31, 15
 #: An anchor in this many documents, or in this share of all anchors if that is more, is salted.
 HOT, HOT_SHARE = 2_000, 1e-5
 #: Documents that are sent to all executors by id; beyond, texts are shuffled to them.
