@@ -10,12 +10,15 @@ P(word | word before) = P(class | class before) * P(word | class).
   steps against those fixed classes, each word by itself, in Spark: its counts of classes
   before and after it are summed over the corpus, and it joins the class under which they are
   likeliest.  `SWEEPS` such steps are made; after each, class bigrams are counted anew.
-* Rarer words, words that occur once, and unknown words take a class by their ending.
+* All rarer words that occur twice or more are then assigned by such a step as well.  They are no
+  table in a task: their occurrences are grouped by word, and class bigrams are corrected
+  for the edges to words of known class, and for edges between two rare words by joins.
+* Words that occur once stand for unknown words; both take a class by their ending.
   Emissions of ending classes are discounted: seen words keep c - D, the class's unknown
   word gets D times its distinct words (D = n1 / (n1 + 2 n2)).  Transitions are smoothed
   towards the class unigram.
-* Scoring: words with a class of their own (at most 1 / LOOKED_UP, 14 bytes each) are looked
-  up in the task; rarer ones meet their counts in a join by word, in which no word can be hot.
+* Scoring: words with a share of `LOOKED_UP` (at most 1 / LOOKED_UP, 14 bytes each) are looked up
+  in the task; rarer ones meet their classes and counts in joins by word, in which no word can be hot.
 
 Tokens are words without ASCII white space, A-Z lower-cased, and one end per document.
 Words are known by 64-bit hashes.
@@ -31,13 +34,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Words, lists, mapped, materialise, mix, table
 
-#: Words clustered together, and the least share of all tokens of a word with a learned class.
+#: Words clustered together, and the least share of all tokens of a word that tasks look up.
 CORE, LOOKED_UP = 512, 5e-7
 CLASSES, ENDINGS = 96, 64
 EXCHANGES, SWEEPS = 4, 2
@@ -47,6 +51,10 @@ SMOOTH = 20.0
 FLUSH = 1_500_000
 
 END = ENDINGS + CLASSES  # the last class: end of one document, start of the next
+RARE = END + 1  # in contexts, a neighbour that isn't looked up: RARE + its ending
+SPAN = RARE + ENDINGS
+#: Occurrences of rare words whose fits a task holds at once.
+FITS = 1 << 15
 
 
 def held_out(doc_id: Column) -> Column:
@@ -143,7 +151,7 @@ class Vocabulary:
 
 
 def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
-    """(ids): each text's words as 32-bit numbers, their place among the known, or -1 - ending; every pass of the clustering reads these."""
+    """(ids, rare): each text's words as 32-bit numbers, their place among the known, or -1 - ending, and the hashes of the latter; every pass of the clustering reads these."""
     shared = docs.sparkSession.sparkContext.broadcast(known.words)
 
     def encode(slices: Iterator) -> Iterator:
@@ -151,10 +159,12 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
         for texts, rows in slices:
             words, ending = tokens(texts)
             at = known.places(words.word)
-            ids = np.where(at >= 0, at, -1 - ending).astype("<i4").tobytes()
-            yield rows, None, {"ids": [ids[4 * a : 4 * b] for a, b in zip(words.first.tolist(), words.first[1:].tolist())]}
+            ids, rare = np.where(at >= 0, at, -1 - ending).astype("<i4").tobytes(), words.word[at < 0].tobytes()
+            held = np.concatenate([[0], np.cumsum(at < 0)])[words.first].tolist()
+            cut = lambda data, size, first: [data[size * a : size * b] for a, b in zip(first, first[1:])]
+            yield rows, None, {"ids": cut(ids, 4, words.first.tolist()), "rare": cut(rare, 8, held)}
 
-    return materialise(mapped(docs, encode, "ids binary"))
+    return materialise(mapped(docs, encode, "ids binary, rare binary"))
 
 
 def _sequence(texts: list[bytes], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,6 +176,18 @@ def _sequence(texts: list[bytes], of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return kinds, ids, where
 
 
+def _contexts(kinds: np.ndarray, where: np.ndarray, ending: np.ndarray) -> np.ndarray:
+    """Of the rare words at `where` in a sequence of classes: the class before, the one after and the own ending, in one number."""
+    around = kinds.copy()
+    around[where] += RARE
+    return ((around[where - 1] * SPAN + around[where + 1]) * ENDINGS + ending).astype(np.int32)
+
+
+def _parts(context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    context = context.astype(np.int64)
+    return context // (SPAN * ENDINGS), context // ENDINGS % SPAN, context % ENDINGS
+
+
 def bigrams(docs: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
     """How often each class follows each, over all encoded texts: a table of `size` x `size`."""
     shared = docs.sparkSession.sparkContext.broadcast(of)
@@ -228,6 +250,13 @@ def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, words: int) -
     return of[size:], total
 
 
+def _fits(total: np.ndarray) -> np.ndarray:
+    """What a class before a word, and a class after it, say of each class for the word."""
+    prior = (total.sum(0) + 1) / (total.sum() + len(total))
+    after = np.log((total + SMOOTH * prior) / (total.sum(1, keepdims=True) + SMOOTH))  # log P(next | class)
+    return np.concatenate([after[:, ENDINGS:END], after[ENDINGS:END].T])
+
+
 def assigned(docs: DataFrame, of: np.ndarray, fixed: np.ndarray, total: np.ndarray) -> np.ndarray:
     """One exchange step for every known word that isn't `fixed`, against the classes as they are (`of`, class bigrams `total`)."""
     size, spark = END + 1, docs.sparkSession
@@ -248,9 +277,7 @@ def assigned(docs: DataFrame, of: np.ndarray, fixed: np.ndarray, total: np.ndarr
 
     summed = mapped(docs, contexts, "k long, n long", text="ids").groupBy("k").agg(F.sum("n").alias("n"))
     by_word = summed.groupBy(F.expr(f"k div {2 * size}").alias("w")).agg(F.collect_list((F.col("k") % (2 * size)).cast("int")).alias("code"), F.collect_list("n").alias("n"))  # at most 2 x size
-    prior = (total.sum(0) + 1) / (total.sum() + size)
-    after = np.log((total + SMOOTH * prior) / (total.sum(1, keepdims=True) + SMOOTH))  # log P(next | class)
-    fits = spark.sparkContext.broadcast(np.concatenate([after[:, ENDINGS:END], after[ENDINGS:END].T]))  # what a context says of each class
+    fits = spark.sparkContext.broadcast(_fits(total))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,8 +295,78 @@ def assigned(docs: DataFrame, of: np.ndarray, fixed: np.ndarray, total: np.ndarr
     return out
 
 
+def occurrences(docs: DataFrame, of: np.ndarray) -> DataFrame:
+    """(word, next, context): every occurrence of a rare word in encoded texts, and the word after it if that is rare, else 0."""
+    shared = docs.sparkSession.sparkContext.broadcast(of)
+
+    def find(slices: Iterator) -> Iterator:
+        for texts, rows in slices:
+            kinds, ids, where = _sequence(texts, shared.value)
+            rare = np.flatnonzero(ids < 0)
+            word = np.frombuffer(b"".join(rows.column("rare").to_pylist()), "<i8")
+            context = _contexts(kinds, where[rare], -1 - ids[rare].astype(np.int64))
+            yield None, None, {"word": word, "next": np.where(_parts(context)[1] >= RARE, np.append(word[1:], 0)[: len(word)], 0), "context": context}
+
+    return mapped(docs, find, "word long, next long, context int", text="ids", also=["rare"])
+
+
+def _met(pairs: DataFrame, learned: DataFrame) -> DataFrame:
+    """Neighbouring rare words (word, next, context), one of which has a learned class: their endings e1, e2 and classes k1, k2."""
+    first, second = learned.select("word", F.col("class").alias("k1")), learned.select(F.col("word").alias("next"), F.col("class").alias("k2"))
+    met = pairs.join(first.hint("shuffle_hash"), "word", "left").join(second.hint("shuffle_hash"), "next", "left").where("k1 is not null or k2 is not null")
+    met = met.withColumns({"e1": F.expr(f"context % {ENDINGS}"), "e2": F.expr(f"cast(context div {ENDINGS} % {SPAN} - {RARE} as int)")})
+    return met.withColumns({"k1": F.coalesce("k1", "e1"), "k2": F.coalesce("k2", "e2")})
+
+
+def rare_classes(docs: DataFrame, of: np.ndarray, total: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(word, ending, class, c) of every rare word, by one exchange step for those that occur twice or more; and the class bigrams with them.
+
+    A word's group has fewer occurrences than a word that is looked up.
+    """
+    size, spark = END + 1, docs.sparkSession
+    found = occurrences(docs, of)
+    fits = spark.sparkContext.broadcast(_fits(total))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("word", pa.int64()), ("ending", pa.int32()), ("class", pa.int32()), ("c", pa.int64()), ("k", pa.int64()), ("n", pa.int64())])
+        moved, ends = np.zeros(size * size, np.int64), fits.value
+        for batch in batches:
+            column = batch.column("contexts")
+            first = column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
+            contexts, lo = column.flatten().to_numpy(), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + FITS, side="right")) - 1)
+                before, after, ending = _parts(contexts[first[lo] : first[hi]])
+                c = np.diff(first[lo : hi + 1])
+                own = ending[first[lo:hi] - first[lo]]
+                kind, again = own.copy(), np.repeat(c > 1, c)
+                if again.any():
+                    a, b = (np.where(x < RARE, x, x - RARE)[again] for x in (before, after))
+                    begin = np.concatenate([[0], np.cumsum(c[c > 1])[:-1]])
+                    kind[c > 1] = np.add.reduceat(ends[a] + ends[size + b], begin, axis=0).argmax(1) + ENDINGS
+                k = np.repeat(kind, c)
+                for new, old, edge in ((before * size + k, before * size + ending, before < RARE), (k * size + after, ending * size + after, after < RARE)):
+                    moved += np.bincount(new[edge], minlength=size * size) - np.bincount(old[edge], minlength=size * size)
+                none = pa.nulls(hi - lo, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("word").slice(lo, hi - lo), pa.array(own.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(c), none, none], schema=schema)
+                lo = hi
+        at = np.flatnonzero(moved)
+        none = [pa.nulls(len(at), f.type) for f in list(schema)[:4]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(at), pa.array(moved[at])], schema=schema)
+
+    by_word = found.groupBy("word").agg(F.collect_list("context").alias("contexts"))
+    chosen = materialise(by_word.mapInArrow(choose, "word long, ending int, class int, c long, k long, n long"))
+    words = chosen.where("class is not null").select("word", "ending", "class", "c")
+    pairs = _met(found.where(f"context div {ENDINGS} % {SPAN} >= {RARE}"), words.where("c > 1"))
+    both = F.array(F.struct((F.col("k1") * size + F.col("k2")).cast("long").alias("k"), F.lit(1).alias("n")), F.struct((F.col("e1") * size + F.col("e2")).cast("long").alias("k"), F.lit(-1).alias("n")))
+    edges = pairs.select(F.inline(both)).union(chosen.where("class is null").select("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # at most size x size
+    total = total.copy().reshape(-1)
+    total[edges["k"].to_numpy(np.int64)] += edges["n"].to_numpy(np.float64)
+    return words, total.reshape(size, size)
+
+
 class Model:
-    """What a task needs to score: bounded by the words that are looked up."""
+    """What a task needs to score: bounded by the words that are looked up.  All others are in the table `rest`."""
 
     def __init__(self, counts: DataFrame, train: DataFrame):
         n_docs = train.count()
@@ -281,22 +378,27 @@ class Model:
         self.known = known = Vocabulary(words, found["c"].to_numpy(np.float64))
         of, total = self.classes(train, found["ending"].to_numpy(np.int64)[np.argsort(words)])
         known.kind = of.astype(np.int16)
-        rare = counts.where(F.col("c") < self.cut)
-        self.mass, self.discount, self.kinds = np.zeros(ENDINGS), np.full(ENDINGS, 0.5), np.zeros(ENDINGS)
-        for r in rare.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect():
-            self.mass[r.ending], self.kinds[r.ending] = r.n, r.v
-            self.discount[r.ending] = min(0.95, max(0.05, r.n1 / (r.n1 + 2 * r.n2))) if r.n1 else 0.5
-        mass = total.sum(0)
+        self.of_class = np.bincount(of, known.c, END + 1)
+        self.discount, self.kinds = np.full(ENDINGS, 0.5), np.zeros(ENDINGS)
+        for r in self.rest.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect():  # at most END
+            self.of_class[r["class"]] += r.n
+            if r["class"] < ENDINGS:
+                self.kinds[r["class"]] = r.v
+                self.discount[r["class"]] = min(0.95, max(0.05, r.n1 / (r.n1 + 2 * r.n2)))
+        self.mass, mass = self.of_class[:ENDINGS], total.sum(0)
         prior = (mass + 1) / (mass.sum() + len(mass))
         self.transition = np.log10((total + SMOOTH * prior) / (total.sum(1, keepdims=True) + SMOOTH))
         self.unknown = np.log10(np.where(self.mass > 0, self.discount * self.kinds / np.maximum(self.mass, 1), 1.0))
-        self.emit = np.log10(known.c / np.bincount(of, known.c, END + 1)[of]) if len(of) else np.zeros(0)
+        self.emit = np.log10(known.c / self.of_class[of]) if len(of) else np.zeros(0)
         self.floor = np.log10(self.tokens + self.distinct + 1)
         self.base = np.log10(known.c + 1)
-        self.learned = known.c.sum() / max(1, self.tokens)
+        self.learned = self.of_class[ENDINGS:].sum() / max(1, self.tokens)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rest"}
 
     def classes(self, train: DataFrame, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each known word, and the class bigrams."""
+        """The class of each known word, and the class bigrams; `rest` has the classes of all others."""
         known = self.known
         texts = encoded(train, known)
         core = np.lexsort((known.words, -known.c))[:CORE]
@@ -310,21 +412,23 @@ class Model:
         for _ in range(SWEEPS if len(known.words) > len(core) else 0):
             of = assigned(texts, of, fixed, total)
             total = bigrams(texts, of, END + 1)
+        self.rest, total = rare_classes(texts, of, total)
         return of, total
 
-    def local(self, texts: list[bytes]) -> tuple[Words, np.ndarray, dict[str, np.ndarray]]:
-        """The words, their places among the known, and each text's figures as if its rare words were unknown."""
+    def local(self, texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """The words, the places of rare ones, their contexts, and each text's figures as if its rare words were unknown."""
         words, ending = tokens(texts)
         at = self.known.places(words.word)
         seen = at >= 0
         kind = np.where(seen, self.known.kind[at] if len(self.known.words) else 0, ending).astype(np.int64)
         kinds = np.full(len(at) + len(texts) + 1, END, np.int64)
-        kinds[np.arange(len(at)) + words.document + 1] = kind
+        where, missing = np.arange(len(at)) + words.document + 1, np.flatnonzero(~seen)
+        kinds[where] = kind
         owner = np.searchsorted(words.first[1:] + np.arange(1, len(texts) + 1), np.arange(len(kinds) - 1), side="right")
         steps = np.bincount(owner, self.transition[kinds[:-1], kinds[1:]], len(texts))
         number = lambda known, other: np.bincount(words.document, np.where(seen, known[at] if len(known) else 0.0, other), len(texts))
         n = np.diff(words.first)
-        return words, at, {
+        return words, missing, _contexts(kinds, where[missing], ending[missing]), {
             "n_tokens": n + 1,
             "local_known": np.bincount(words.document, seen, len(texts)).astype(np.int64) + (self.ends > 0),
             "local_base": number(self.base, 0.0) + np.log10(self.ends + 1) - self.floor * (n + 1),
@@ -342,24 +446,47 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def score_(slices: Iterator) -> Iterator:
         for texts, rows in slices:
-            words, at, figures = shared.value.local(texts)
-            missing = np.flatnonzero(at < 0)
-            order = missing[np.lexsort((words.word[missing], words.document[missing]))]
-            w, d = words.word[order], words.document[order]
-            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])) if len(w) else np.zeros(0, np.int64)
+            words, missing, context, figures = shared.value.local(texts)
+            w, d = words.word[missing], words.document[missing]
+            after = np.where(_parts(context)[1] >= RARE, np.append(w[1:], np.uint64(0))[: len(w)], np.uint64(0))
+            order = np.lexsort((after, context, w, d))
+            w, d, after, context = w[order], d[order], after[order], context[order]
+            new = [x[1:] != x[:-1] for x in (w, d, after, context)]
+            first = np.flatnonzero(np.concatenate([[True], np.any(new, axis=0)])) if len(w) else np.zeros(0, np.int64)
             begin = np.searchsorted(d[first], np.arange(len(texts) + 1))
-            yield rows, None, {**figures, "rare": lists(w[first].view(np.int64), begin), "times": lists(np.diff(np.append(first, len(w))).astype(np.int64), begin)}
+            held = {"rare": w.view(np.int64)[first], "next": after.view(np.int64)[first], "context": context[first], "times": np.diff(np.append(first, len(w))).astype(np.int32)}
+            yield rows, None, {**figures, **{c: lists(x, begin) for c, x in held.items()}}
 
     key = ["doc_id", "text_hash"]
     figures = "n_tokens long, local_known long, local_base double, local_score double"
-    copies = materialise(mapped(docs, score_, f"{figures}, rare array<long>, times array<long>", key))
-    number = lambda x: F.element_at(F.array(*map(F.lit, x.tolist())), F.col("ending") + 1)
-    seen = counts.where(F.col("c") < model.cut).select(
-        "word", F.log10(F.col("c") + 1).alias("b"), (F.log10(F.col("c") - number(model.discount)) - F.log10(number(model.discount * np.maximum(model.kinds, 1)))).alias("s")
+    copies = materialise(mapped(docs, score_, f"{figures}, rare array<long>, next array<long>, context array<int>, times array<int>", key))
+    steps = np.zeros((SPAN, SPAN))  # edges to rare neighbours are looked at apart
+    steps[: END + 1, : END + 1] = model.transition
+    step = docs.sparkSession.sparkContext.broadcast(steps)
+
+    @F.pandas_udf("double")
+    def moved(context: pd.Series, kind: pd.Series) -> pd.Series:
+        """What the steps around a rare word gain by its class."""
+        (a, b, e), k, t = _parts(context.to_numpy()), kind.to_numpy(), step.value
+        return pd.Series(t[a, k] - t[a, e] + t[k, b] - t[e, b])
+
+    @F.pandas_udf("double")
+    def between(k1: pd.Series, k2: pd.Series, e1: pd.Series, e2: pd.Series) -> pd.Series:
+        t = step.value
+        return pd.Series(t[k1.to_numpy(), k2.to_numpy()] - t[e1.to_numpy(), e2.to_numpy()])
+
+    number = lambda x, of: F.element_at(F.array(*map(F.lit, x.tolist())), F.col(of) + 1)
+    once = F.log10(F.col("c") - number(model.discount, "ending")) - F.log10(number(model.discount * np.maximum(model.kinds, 1), "ending"))
+    learned = F.log10(F.col("c") / number(model.of_class, "class")) - number(model.unknown, "ending")
+    seen = model.rest.select("word", "class", F.log10(F.col("c") + 1).alias("b"), F.when(F.col("class") < ENDINGS, once).otherwise(learned).alias("s"))
+    rare = copies.select(*key, F.explode(F.arrays_zip("rare", "next", "context", "times")).alias("x")).select(
+        *key, F.col("x.rare").alias("word"), F.col("x.next").alias("next"), F.col("x.context").alias("context"), F.col("x.times").alias("n")
     )
-    rare = copies.select(*key, F.explode(F.arrays_zip("rare", "times")).alias("x")).select(*key, F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
-    met = rare.join(seen.hint("shuffle_hash"), "word")
-    more = met.groupBy(*key).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("b")).alias("b"), F.sum(F.col("n") * F.col("s")).alias("s"))
+    alone = rare.drop("next").join(seen.hint("shuffle_hash"), "word")
+    alone = alone.select(*key, "n", (F.col("n") * F.col("b")).alias("b"), (F.col("n") * (F.col("s") + moved("context", "class"))).alias("s"))
+    pairs = _met(rare.where(f"context div {ENDINGS} % {SPAN} >= {RARE}"), model.rest.where("c > 1"))
+    pairs = pairs.select(*key, F.lit(0).alias("n"), F.lit(0.0).alias("b"), (F.col("n") * between("k1", "k2", "e1", "e2")).alias("s"))
+    more = alone.union(pairs).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("s").alias("s"))
     many = copies.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1")
     same = F.expr("doc_id <=> d and text_hash <=> h")
     out = copies.join(more.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), same, "left").drop("d", "h")

@@ -88,6 +88,63 @@ def test_language_model_scores_by_brute_force(spark, monkeypatch):
     assert class_lm.scored(docs.limit(0)).count() == 0
 
 
+def test_language_model_classes_of_rare_words(spark, monkeypatch):
+    """Words that occur twice or more have the class that fits them best, however small their share; scores follow from the classes by plain counting."""
+    monkeypatch.setattr(class_lm, "CORE", 4)
+    monkeypatch.setattr(class_lm, "LOOKED_UP", 0.01)
+    monkeypatch.setattr(class_lm, "FITS", 5)
+    rows = [(i, t) for i, t in ROWS if t is None or len(t) < 3000]
+    rows += [(70 + i, f"{a} zig{i % 3} zag{i % 4} zig{i % 3} {b}") for i, (a, b) in enumerate(zip("the on er a one thy".split() * 3, "a one the er on two".split() * 3))]
+    docs = brute.documents(spark, rows)
+    train = docs.where(~class_lm.held_out(F.col("doc_id"))).select("text")
+    counted = class_lm.word_counts(train).cache()
+    m = class_lm.Model(counted, train)
+    hashed = lambda w: int(Words([w.encode()]).word.view(np.int64)[0])
+    ending = lambda w: int(class_lm.tokens([w.encode()])[1][0])
+    kinds = dict(zip(m.known.words.view(np.int64).tolist(), m.known.kind.tolist())) | {r.word: r["class"] for r in m.rest.collect()}
+    kind = lambda w: kinds.get(hashed(w), ending(w))
+    split = lambda t: brute.SPACED.findall(brute.low(t))
+    texts = [split(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, end, size = Counter(w for t in texts for w in t), class_lm.END, class_lm.END + 1
+    rare = {w for w, c in counts.items() if c < m.cut}
+    assert sum(counts[w] > 1 for w in rare) > 20 and all((kind(w) >= class_lm.ENDINGS) == (c > 1) for w, c in counts.items())
+
+    of = m.known.kind.astype(np.int64)
+    encoded = class_lm.encoded(train, m.known)
+    fits = class_lm._fits(class_lm.bigrams(encoded, of, size))
+    before = lambda w: ending(w) if w in rare or w not in counts else kind(w)
+    weight = {w: np.zeros(class_lm.CLASSES) for w in rare}
+    for t in texts:
+        c = [end, *map(before, t), end]
+        for i, w in enumerate(t):
+            if w in rare:
+                weight[w] += fits[c[i]] + fits[size + c[i + 2]]
+    assert all(weight[w][kind(w) - class_lm.ENDINGS] == pytest.approx(weight[w].max(), rel=1e-9) for w in rare if counts[w] > 1)
+
+    steps = Counter(p for t in texts for c in [[end, *map(kind, t), end]] for p in zip(c, c[1:]))
+    table_ = np.zeros((size, size))
+    for p, n in steps.items():
+        table_[p] = n
+    prior = (table_.sum(0) + 1) / (table_.sum() + size)
+    log_step = np.log10((table_ + class_lm.SMOOTH * prior) / (table_.sum(1, keepdims=True) + class_lm.SMOOTH))
+    mass, once = Counter(), Counter()
+    for w, c in counts.items():
+        mass[kind(w)] += c
+        once[kind(w)] += c == 1
+
+    def emission(w):
+        if counts[w] != 1:
+            return counts[w] / mass[kind(w)] if counts[w] else 0.95 * once[kind(w)] / mass[kind(w)] if mass[kind(w)] else 1.0
+        return (1 - 0.95) / mass[kind(w)]
+
+    edges = Counter((a in rare) + (b in rare) for t in texts for a, b in zip(t, t[1:]))
+    assert min(edges[0], edges[1], edges[2]) > 20
+    for r in class_lm.scored(docs).collect():
+        t = split(dict(rows)[r.doc_id])
+        c = [end, *map(kind, t), end]
+        assert r.score == pytest.approx(sum(log_step[p] for p in zip(c, c[1:])) + sum(np.log10(emission(w)) for w in t), rel=1e-9)
+
+
 def test_language_model_beats_unigrams_on_held_out_text(spark):
     h = class_lm.op8_class_lm(spark, DATA).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert h[1] > h[0]
