@@ -18,9 +18,10 @@ found without comparing documents with each other:
    and noted in a bitmap, whose size grows with their number up to 2^MOST_BITS bits.  A false
    bit costs work, never a result.
 2. `sources`: windows behind a noted anchor are grouped by their own hash to find an earlier
-   document and the place in it.  Windows of very frequent anchors are salted, with as many salts
-   as keep a group near `HOT` documents: all but the earliest of a salt have an earlier document
-   there, and only the salts' winners are compared again.
+   document and the place in it.  Neighbours with one anchor travel in one row, dealt by the anchor,
+   and are grouped where they arrive.  Windows of very frequent anchors are dealt one by one and salted,
+   with as many salts as keep a group near `HOT` documents: all but the earliest of a salt have an
+   earlier document there, and only the salts' winners are compared again.
 3. `references`: the blocks so named, joined by document and number.  A block that a third of
    all documents need is one key of a join that Spark may split.
 
@@ -40,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Words, lists, mapped, materialise, table
+from palimpsest.llm.common import Words, lists, mapped, materialise, mix, table
 
 WINDOW = 13
 TRIPLE = 3
@@ -123,8 +124,11 @@ class Noted:
         return np.where(self.hot[at] == anchor, doc_id % self.salts[at] + 1, 0)
 
 
-def sources(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, source, block): for each document the blocks of earlier documents in which its windows also start."""
+def windows(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, place, salted, block, hashes): a document's distinct windows behind noted anchors, neighbours of one place in one row.
+
+    Equal windows have equal places: their anchor, or their own hash and a salt if that is very frequent.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Noted(docs, window))
 
     def find(slices: Iterator) -> Iterator:
@@ -139,16 +143,27 @@ def sources(docs: DataFrame, window: int) -> DataFrame:
             order = np.lexsort((found, document))
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(found[order]) != 0) | (np.diff(document[order]) != 0)
-            once = order[new]  # a window that a document repeats counts once
-            doc_id = rows.column("doc_id").to_numpy()[document[once]]
-            salt, block = noted.salt(anchor[once], doc_id), (start[once] - words.first[document[once]]) // BLOCK
-            yield rows, document[once], {"hash": found[once], "salt": salt, "block": block}
-
-    found = mapped(docs, find, "hash long, salt long, block int", ["doc_id"])
-    first = found.withColumn("first", F.min(F.struct("doc_id", "block")).over(Window.partitionBy("hash", "salt")))
-    first = materialise(first.where("doc_id > first.doc_id or salt > 0").select("doc_id", "block", "hash", "salt", F.col("first.doc_id").alias("source"), F.col("first.block").alias("source_block")))
+            once = np.sort(order[new])  # a window that a document repeats counts once
+            document, found = document[once], found[once]
+            salt = noted.salt(anchor[once], rows.column("doc_id").to_numpy()[document])
+            block = (start[once] - words.first[document]) // BLOCK
+            own = mix(found.view(np.uint64) + salt.astype(np.uint64)).view(np.int64)
+            place = (np.where(salt > 0, own, anchor[once]) >> 32).astype(np.int32)  # windows that share it by chance are told apart by hash
+            first = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (document, place, block, salt)], axis=0)])) if len(once) else once
+            yield rows, document[first], {"place": place[first], "salted": salt[first] > 0, "block": block[first], "hashes": lists(found, np.append(first, len(found)))}
+
+    return mapped(docs, find, "place int, salted boolean, block int, hashes array<long>", ["doc_id"])
+
+
+def sources(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, source, block): for each document the blocks of earlier documents in which its windows also start."""
+    found = windows(docs, window).repartition("place").select("doc_id", "place", "salted", "block", F.explode("hashes").alias("hash"))
+    first = found.withColumn("first", F.min(F.struct("doc_id", "block")).over(Window.partitionBy("place", "hash"))).where("doc_id > first.doc_id or salted")
+    winner = F.expr("salted and doc_id = first.doc_id")
+    first = first.select("place", "doc_id", *(F.when(winner, F.col(c)).alias(c) for c in ("hash", "block")), F.col("first.doc_id").alias("source"), F.col("first.block").alias("source_block"))
+    first = materialise(first.distinct().drop("place"))  # they lie by place: no exchange
     later = first.where("doc_id > source").select("doc_id", "source", F.col("source_block").alias("block"))
-    winners = first.where("salt > 0 and doc_id = source").groupBy("hash", "doc_id").agg(F.min("block").alias("block"))  # at most one a salt
+    winners = first.where("doc_id = source").groupBy("hash", "doc_id").agg(F.min("block").alias("block"))  # at most one a salt
     best = winners.withColumn("first", F.min(F.struct("doc_id", "block")).over(Window.partitionBy("hash"))).where("doc_id > first.doc_id")
     return later.union(best.select("doc_id", "first.doc_id", "first.block")).distinct()
 

@@ -132,6 +132,24 @@ def test_substrings_salted(docs, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.sha) for r in got} == brute.substrings(ROWS)
 
 
+@pytest.mark.parametrize("hot", [2_000, 3])
+def test_substrings_deal_neighbours_in_one_row(spark, monkeypatch, hot):
+    """Every distinct window of a repeated passage is dealt once a document, most of them in one row with others of their block."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    passage = [f"w{k * k % 1009}" for k in range(400)]
+    rows = [(i, " ".join([f"own{i}", *passage[i:], f"end{i}", *passage[:30]])) for i in range(8)]
+    held = [(r, h) for r in substring_dedup.windows(spark.createDataFrame(rows, "doc_id long, text string"), 13).collect() for h in r.hashes]
+    want = {i: set(Words([" ".join(passage[i:]).encode(), " ".join(passage[:30]).encode()]).runs(13)[0].view("int64").tolist()) for i, _ in rows}
+    found = [(r.doc_id, h) for r, h in held]
+    assert len(set(found)) == len(found) and {(i, h) for i in want for h in want[i]} <= set(found)
+    assert all(r.block <= len(passage) // substring_dedup.BLOCK + 1 for r, _ in held)
+    if hot > 3:  # not salted: one place for each window, several windows a row
+        assert len({(h, r.place) for r, h in held}) == len({h for _, h in held}) and not any(r.salted for r, _ in held)
+        assert 3 * len({(r.doc_id, r.place, r.block, tuple(r.hashes)) for r, _ in held}) < len(held)
+    else:
+        assert all(len(r.hashes) == 1 for r, _ in held if r.salted) and any(r.salted for r, _ in held)
+
+
 def test_substrings_null_and_shared_ids(spark):
     t = " ".join(map(str, range(20)))
     got = substring_dedup.factored(spark.createDataFrame([(None, t), (5, t), (5, t), (6, t)], "doc_id long, text string")).collect()
